@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, mpeg_audio, secrets, token_codes
+from millrace.llm import byte_bpe, exact_dedup, mixing, mpeg_audio, secrets, token_codes
 from millrace.workspace import prepare, stored, table
 
 
@@ -47,16 +47,62 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.groups(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("_digest").alias("text_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(_documents(spark, sf_dir), most_repeats=MOST_REPEATS, seed=MIX_SEED)
+    return plan.select("doc_id", "source", "tokens", "weight", "block", "copies")
+
+
+MOST_REPEATS, MIX_SEED = 2.0, 7
+
+
 def queries() -> dict:
     return {
         "op2_mpeg_audio": op2_mpeg_audio,
         "op4_token_codes": op4_token_codes,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_secrets": op7_secrets,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+#: The exponent that the bisection finds for a repetition limit has a closed form.
+OP10_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '{mixing.NO_SOURCE}') AS source,
+         coalesce(len(regexp_extract_all(text, '[^ \t\r\n]+')), 0)::BIGINT AS tokens,
+         md5('{MIX_SEED}|' || coalesce(source, '{mixing.NO_SOURCE}') || '|' || coalesce(doc_id::VARCHAR, '')) AS place
+  FROM documents),
+s AS (SELECT source, sum(tokens)::BIGINT AS t, count(*) AS n FROM d GROUP BY source),
+e AS (SELECT round(greatest(0, 1 - ln({MOST_REPEATS}) / nullif(ln(max(t)::DOUBLE / min(t) FILTER (t > 0)), 0)), 6) AS a, max(t) AS largest FROM s),
+b AS (SELECT source, t, n, CASE WHEN t > 0 THEN floor(pow(largest::DOUBLE / t, 1 - coalesce(a, 0)) * t + 0.5)::BIGINT ELSE 0 END AS budget FROM s, e),
+w AS (
+  SELECT source, CASE WHEN t > 0 THEN budget // t ELSE 1 END AS passes, CASE WHEN t > 0 THEN budget % t ELSE 0 END AS rest,
+         round(budget / sum(budget) OVER (), 6) AS weight, least({mixing.MOST_BLOCKS}, (n + {mixing.BLOCK} - 1) // {mixing.BLOCK}) AS blocks FROM b),
+p AS (SELECT d.*, passes, rest, weight, ('0x' || substr(place, 1, 8))::BIGINT % blocks AS block FROM d JOIN w USING (source)),
+i AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, block ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM p),
+k AS (SELECT source, block, sum(tokens) AS block_tokens FROM p GROUP BY source, block),
+o AS (
+  SELECT source, block, coalesce(sum(block_tokens) OVER (PARTITION BY source ORDER BY md5('{MIX_SEED}|block|' || source || '|' || block::VARCHAR), block
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT doc_id, source, tokens, weight, block::BIGINT AS block, (passes + CASE WHEN before + inside < rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM i JOIN o USING (source, block)
+"""
 
 
+def oracle_sql() -> dict[str, str]:
+    return {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
