@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, exact_dedup, mixing, mpeg_audio, secrets, token_codes
+from millrace.llm import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, secrets, token_codes
 from millrace.workspace import prepare, stored, table
 
 
@@ -14,6 +14,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(prepare(spark), sf_dir, "documents")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = language_id.held_out()
+    model = language_id.fit(docs.where(~held))
+    return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(mpeg_audio.store(_documents(spark, sf_dir)), "media")
     return mpeg_audio.features(media)
@@ -62,6 +69,7 @@ MOST_REPEATS, MIX_SEED = 2.0, 7
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_mpeg_audio": op2_mpeg_audio,
         "op4_token_codes": op4_token_codes,
         "op6_byte_bpe": op6_byte_bpe,
