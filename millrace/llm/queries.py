@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, secrets, token_codes
+from millrace.llm import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, secrets, sentence_dedup, token_codes
 from millrace.workspace import prepare, stored, table
 
 
@@ -33,6 +33,11 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_tokens(token_codes.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), token_codes.token_folder(docs)))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_dedup.deduplicate(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +77,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_mpeg_audio": op2_mpeg_audio,
         "op4_token_codes": op4_token_codes,
+        "op5_sentence_spans": op5_sentence_spans,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_secrets": op7_secrets,
         "op8_exact_dedup": op8_exact_dedup,
@@ -79,6 +85,22 @@ def queries() -> dict:
     }
 
 
+OP5_SQL = r"""
+WITH s AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+  FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\n]*(?:[.!?]+|\n|\z)[ \t\r\n]*'), lambda x: x <> '') AS p FROM documents)),
+n AS (SELECT *, trim(regexp_replace(piece, '[ \t\r\n]+', ' ', 'g'), ' ') AS t FROM s),
+r AS (
+  SELECT doc_id, i, [t, lead(t, 1) OVER w, lead(t, 2) OVER w] AS run, lead(i, 2) OVER w AS last
+  FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+l AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r WHERE last IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM l WHERE k > 1),
+m AS (SELECT n.doc_id, n.i, n.piece, g.i IS NOT NULL AS gone FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.i = g.i),
+c AS (SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN c USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256,
@@ -113,4 +135,4 @@ FROM i JOIN o USING (source, block)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op5_sentence_spans": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
