@@ -38,20 +38,21 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], n)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096, least_bytes: int = 1 << 24) -> Iterator[pa.Table]:
     """Regroups batches that are sorted by keys, so that no group is cut between two tables.
 
-    A table holds the groups that fit about `least` rows; a group is held whole,
+    A table holds the groups that fit about `least` rows or bytes; a group is held whole,
     so the caller must bound the size of a group before the shuffle.
     """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
+        size += batch.nbytes
+        if rows < least and size < least_bytes:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         cut = _last_group(table, keys)
@@ -59,6 +60,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
             yield table.slice(0, cut)
         held = table.slice(cut).to_batches()
         rows = table.num_rows - cut
+        size = sum(b.nbytes for b in held)
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 

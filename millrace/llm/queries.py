@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, secrets, sentence_dedup, token_codes
+from millrace.llm import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, ngram_join, secrets, sentence_dedup, token_codes
 from millrace.workspace import prepare, stored, table
 
 
@@ -26,6 +26,10 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.features(media)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_documents(spark, sf_dir))
+
+
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +80,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_mpeg_audio": op2_mpeg_audio,
+        "op3_ngram_join": op3_ngram_join,
         "op4_token_codes": op4_token_codes,
         "op5_sentence_spans": op5_sentence_spans,
         "op6_byte_bpe": op6_byte_bpe,
