@@ -31,7 +31,7 @@ MAGIC = int.from_bytes(b"DACSEG01", "little")
 BLOCK = 512
 #: Ids in a segment; a longer document has a segment of its own.
 SEGMENT = 1 << 19
-MOST_WORDS = 400_000
+MOST_WORDS = 350_000
 
 
 def pack(ids: np.ndarray, doc_starts: np.ndarray) -> bytes:
@@ -97,44 +97,84 @@ class Segment:
         return out
 
 
-class WordEncoder:
-    """Encodes with the tokenizers library, each distinct word once.
+class WordEncoder(dict):
+    """Encodes with the tokenizers library, each distinct word once; word -> its ids as bytes.
 
     The vocabulary drops white space and splits at it, so a text's ids are those of its
-    words one after the other. Characters on which Python and the library differ as to
-    white space send the whole text through the library.
+    words one after the other; it also folds case and splits letters from a comma or
+    full stop after them. Characters on which Python and the library differ as to white
+    space send the whole text through the library. Words are held in two generations, so
+    that frequent words stay while memory is bounded.
     """
 
     ODD = re.compile("[\x1c-\x1f]")
+    #: A comma or full stop between a letter and white space is a piece of its own.
+    MARK = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=\s|\Z)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        self.kind = kind
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(True)
+        #: Whether an id ends a word.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, cores: list[str]) -> None:
+        """Encodes words of letters many at a time; the last token of a word is known by its mark."""
+        if not cores:
+            return
+        lines = [" ".join(cores[i : i + 50]) for i in range(0, len(cores), 50)]
+        ids = [i for e in self.library.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids]
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(cores):
+            raise ValueError("a word of letters has to end with one marked token")
+        data, size = np.array(ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
+        self.update(zip(cores, [data[a * size : b * size] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+
+    def words(self, text: str) -> list[str] | None:
+        """Pieces that are encoded one by one; None for a text that must be encoded whole."""
+        if self.ODD.search(text):
+            return None
+        try:
+            text.encode("latin-1")  # there, case is folded alike and no marks are composed
+        except UnicodeEncodeError:
+            return text.split()
+        return self.MARK.sub(r" \1", text.lower()).split()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        self[word] = ids = self.whole(word) if ids is None else ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.ODD.search(t) else t.split() for t in texts]
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        new = list({w for words in split if words for w in words if w not in self.known})
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            self.known.update(zip(part, self._encode(part), strict=True))
-        get = self.known.__getitem__
-        return [self._encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        split = [self.words(t) for t in texts]
+        if len(self) > MOST_WORDS:
+            self.older = dict(self)
+            self.clear()
+        new = [w for w in set().union(*filter(None, split)) if w not in self and w not in self.older]
+        self.learn([w for w in new if w.isalpha() and max(w) <= "\xff"])
+        return [self.whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, kind: str) -> WordEncoder:
+    return WordEncoder(path, kind)
+
+
+def width(path: str, end_id: int) -> str:
+    """The unsigned integer in which all ids fit, for the shuffle."""
+    return "<u2" if max(end_id, *word_encoder(path, "<u4").library.get_vocab(True).values()) < 1 << 16 else "<u4"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", docs_a_bucket: int = 20_000) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", docs_a_bucket: int = 5_000) -> DataFrame:
     """Encodes every whole text, ends each with end_id, and writes segments in ascending order of ids under `out`.
 
     The files are Parquet with one segment a row: bucket, segment, doc_ids, n_tokens,
@@ -144,31 +184,33 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, id_
     null id come first; rows with equal ids are ordered by their encoded ids; other columns are ignored.
     """
     spark = docs.sparkSession
+    kind = width(tokenizer, end_id)
+    size_of = np.dtype(kind).itemsize
     ids = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"))
     rows = ids.count()
     n = max(1, min(10_000, rows // docs_a_bucket))
     borders = sorted({b for (b,) in ids.select(F.explode(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10_000))).collect()}) if rows else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        encode = word_encoder(tokenizer, kind).encode
+        end = np.array([end_id], kind).tobytes()
         wide = np.array(borders, np.int64)
         for batch in batches:
             keys = batch.column(0)
             bucket = np.searchsorted(wide, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
             bucket = np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, bucket)
             texts = texts_of(batch)
-            for a, b in slices(texts, 4_000_000):
-                coded = [c + end for c in encoder.encode(texts[a:b])]
+            for a, b in slices(texts, 2_000_000):
+                coded = [c + end for c in encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b].astype(np.int32)), keys.slice(a, b - a), pa.array(coded, pa.binary())], ["bucket", "id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number, last = [], 0, 0, None
 
         def segment() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for _, x in held], np.int64)
+            lengths = np.array([len(x) // size_of for _, x in held], np.int64)
             starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-            data = pack(np.frombuffer(b"".join(x for _, x in held), "<u4"), starts)
+            data = pack(np.frombuffer(b"".join(x for _, x in held), kind), starts)
             return pa.RecordBatch.from_arrays(
                 [pa.array([last], pa.int32()), pa.array([number], pa.int32()), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([int(starts[-1])], pa.int64()), pa.array([data], pa.binary())],
                 ["bucket", "segment", "doc_ids", "n_tokens", "data"],
@@ -176,7 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, id_
 
         for batch in batches:
             for bucket, key, coded in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "ids")), strict=True):
-                if held and (bucket != last or size + len(coded) > 4 * SEGMENT):
+                if held and (bucket != last or size + len(coded) > size_of * SEGMENT):
                     yield segment()
                     held, size, number = [], 0, number + 1 if bucket == last else 0
                 last = bucket
