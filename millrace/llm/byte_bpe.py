@@ -16,6 +16,7 @@ stream at whole characters, so that a stream can be decoded id by id.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.batches import texts_of
 
-#: Distinct pieces, or transducer states, that a worker holds before it starts afresh.
-MOST_PIECES = 300_000
-MOST_STATES = 100_000
+#: Distinct pieces of a generation, and transducer states, that a worker holds before it drops them.
+MOST_PIECES = 120_000
+MOST_STATES = 60_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,9 +40,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class _State:
     __slots__ = ("pending", "last", "borders", "live", "next")
 
-    def __init__(self, pending: bytes, last: list[bytes], borders: list[int], live: list[int]):
+    def __init__(self, pending: bytes, last: bytes, borders: tuple[int, ...], live: bytes):
         self.pending = pending
-        #: For each prefix of pending that is not empty: the last token of its encoding.
+        #: For each prefix of pending that is not empty: the length of the last token of its encoding.
         self.last = last
         #: For each prefix, the empty one first: the borders of its encoding, as bits.
         self.borders = borders
@@ -60,7 +61,7 @@ class Transducer:
 
     def restart(self) -> None:
         self.states: dict[bytes, _State] = {}
-        self.start = _State(b"", [], [1], [0])
+        self.start = _State(b"", b"", (1,), b"\0")
 
     def merged(self, piece: bytes) -> list[bytes]:
         """The merges in the order of their ranks; asked only of single tokens and of pairs of tokens."""
@@ -81,7 +82,7 @@ class Transducer:
         """Whether the two stay side by side when their bytes are encoded together."""
         known = self.fits.get((before, token))
         if known is None:
-            if len(self.fits) > MOST_PIECES:
+            if len(self.fits) > MOST_STATES:
                 self.fits.clear()
             known = self.fits[before, token] = self.merged(before + token) == ([before, token] if before else [token])
         return known
@@ -90,32 +91,32 @@ class Transducer:
         pending = state.pending + bytes((byte,))
         for begin in state.live:  # the longest token first; just one of them fits
             token = pending[begin:]
-            if token in self.ranks and self._fits(state.last[begin - 1] if begin else b"", token):
+            if token in self.ranks and self._fits(pending[begin - state.last[begin - 1] : begin] if begin else b"", token):
                 break
-        last = [*state.last, token]
-        borders = [*state.borders, state.borders[begin] | 1 << len(pending)]
-        live = [i for i in state.live if pending[i:] in self.prefixes]
-        live.append(len(pending))
+        n = len(pending)
+        last = state.last + bytes((n - begin,))
+        borders = (*state.borders, state.borders[begin] | 1 << n)
+        live = bytes([i for i in state.live if pending[i:] in self.prefixes] + [n])
         common = borders[-1]
         for i in live:
             common &= borders[i]
         settled = common.bit_length() - 1
         out: tuple[int, ...] = ()
         if settled:
-            out = self._ids(last, settled)
+            out = self._ids(pending, last, settled)
             pending, last = pending[settled:], last[settled:]
-            borders, live = [b >> settled for b in borders[settled:]], [i - settled for i in live]
+            borders, live = tuple([b >> settled for b in borders[settled:]]), bytes([i - settled for i in live])
         if (known := self.states.get(pending)) is None:
             known = self.states[pending] = _State(pending, last, borders, live) if pending else self.start
         state.next[byte] = (known, out)
         return known, out
 
-    def _ids(self, last: list[bytes], end: int) -> tuple[int, ...]:
+    def _ids(self, pending: bytes, last: bytes, end: int) -> tuple[int, ...]:
         out = []
         while end:
-            token = last[end - 1]
-            out.append(self.ranks[token])
-            end -= len(token)
+            begin = end - last[end - 1]
+            out.append(self.ranks[pending[begin:end]])
+            end = begin
         return tuple(reversed(out))
 
     def encode(self, piece: bytes) -> list[int]:
@@ -128,29 +129,31 @@ class Transducer:
             state, out = step if step is not None else self._step(state, b)
             if out:
                 ids += out
-        ids += self._ids(state.last, len(state.pending))
+        ids += self._ids(state.pending, state.last, len(state.pending))
         return ids
 
 
-class Encoder:
+class Encoder(dict):
+    """piece -> its ids as little-endian unsigned 32-bit integers, in two generations."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > MOST_PIECES:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.transducer.encode(piece.encode())).tobytes()
+        self[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        pieces = self.find(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > MOST_PIECES:
-                known.clear()
-            for p in pieces:
-                if p not in known:
-                    known[p] = np.array(self.transducer.encode(p.encode()), "<u4").tobytes()
-            return b"".join([known[p] for p in pieces])
+        return b"".join(map(self.__getitem__, self.find(text)))
 
 
 def _utf8_table() -> list[list[int]]:
