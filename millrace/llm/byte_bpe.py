@@ -247,3 +247,20 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
 
     out = encoded.selectExpr(f"`{id_col}` AS id", "ids").mapInArrow(run, f"id {kind}, ids binary, bytes binary")
     return out.withColumnRenamed("id", id_col)
+
+
+def token_arrays(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As encode, with the ids as an array<int>: id, n_tokens, ids."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = coder(path, pattern)[0].encode
+        for batch in batches:
+            coded = [one(t) for t in texts_of(batch)]
+            counts = np.array([len(c) // 4 for c in coded], np.int64)
+            offsets = pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), ids], ["id", "n_tokens", "ids"])
+
+    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, n_tokens bigint, ids array<int>")
+    return out.withColumnRenamed("id", id_col)

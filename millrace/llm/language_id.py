@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from millrace.llm.batches import slices, texts_of
 
@@ -242,6 +243,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.withColumnRenamed("id", id_col)
 
 
+def labelled(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """_doc (all columns of docs as they are), _lang, _score for each row, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = [d if d is not None else "" for d in batch.column(0).field(text_col).to_pylist()]
+            found: list[tuple[str, float]] = []
+            for a, b in slices(texts, 4_000_000):
+                found += map(m.label, m.spans(texts[a:b]) if m.languages else [[] for _ in range(b - a)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["_doc", "_lang", "_score"])
+
+    schema = StructType([StructField("_doc", docs.schema), StructField("_lang", StringType()), StructField("_score", DoubleType())])
+    return docs.select(F.struct("*").alias("_doc")).mapInArrow(run, schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """One document in five, by its id: never learned from. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % 5 == 0

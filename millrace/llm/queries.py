@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, ngram_join, secrets, sentence_dedup, token_codes
+from millrace.llm import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, ngram_join, secrets, sentence_dedup, suffix_dedup, token_codes
 from millrace.workspace import prepare, stored, table
 
 
@@ -68,6 +68,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("_digest").alias("text_sha256"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(_documents(spark, sf_dir), most_repeats=MOST_REPEATS, seed=MIX_SEED)
     return plan.select("doc_id", "source", "tokens", "weight", "block", "copies")
@@ -86,6 +90,7 @@ def queries() -> dict:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_secrets": op7_secrets,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_suffix_array": op9_suffix_array,
         "op10_mixing": op10_mixing,
     }
 
