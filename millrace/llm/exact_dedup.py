@@ -19,8 +19,11 @@ from millrace.workspace import new_path, stored
 
 #: Fixed values.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated files, of which each partition of the state would have some.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -53,8 +56,9 @@ def seen(rows: DataFrame, files_a_batch: int = 10_000) -> DataFrame:
     light = rows.select("_digest", "_id", "_row")
     if folder is None:
         return light.groupBy("_digest").agg(F.max(F.struct("_id", "_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(light.schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
         state = stream.groupBy("_digest").agg(F.max(F.struct("_id", "_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -64,7 +68,8 @@ def seen(rows: DataFrame, files_a_batch: int = 10_000) -> DataFrame:
         names = found.schema["value"].dataType.names
         return stored(found.select(F.col("key._digest").alias("_digest"), F.col(f"value.`{names[0]}`").alias("keep"), F.col(f"value.`{names[1]}`").alias("n")), "exact-dedup-seen")
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_a_batch: int = 10_000) -> DataFrame:
