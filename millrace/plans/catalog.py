@@ -1,11 +1,472 @@
-"""Queries that the library registers, each with its SQL."""
+"""Queries that the library registers, each over whole tables, with its SQL.
+
+Arrays are exploded to rows and floats rounded, so that results compare by value.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import hashing, key_values, transforms
+from millrace.operators import metrics, sharding, statistics, updates, vectors
+from millrace.plans.features import FeaturePlan, Step
+from millrace.sources import readers
+from millrace.workspace import prepare, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE")
+PRICE_BORDERS = (1000.0, 20000.0, 50000.0, 100000.0, 250000.0)
+DIM = 8
 
-def queries() -> dict:
-    return {}
+
+def query(sql: str | None = None):
+    def add(fn):
+        _QUERIES[fn.__name__] = lambda spark, sf_dir: fn(lambda name: table(prepare(spark), sf_dir, name))
+        if sql is not None:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits)
+
+
+@query("""
+WITH s AS (SELECT min(l_extendedprice) lo, max(l_extendedprice) hi FROM lineitem),
+b AS (SELECT unnest([quantile_cont(l_quantity, 0.25), quantile_cont(l_quantity, 0.5), quantile_cont(l_quantity, 0.75)]) x FROM lineitem),
+q AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT x FROM b) WHERE x <= l_quantity) AS bucket, (l_extendedprice - lo) / nullif(hi - lo, 0) AS n FROM lineitem, s)
+SELECT bucket::BIGINT AS bucket, count(*) AS n_rows, round(avg(n), 6) AS mean_normalized FROM q GROUP BY bucket
+""")
+def normalize_bucketize_summary(t):
+    df = t("lineitem")
+    plan = FeaturePlan([Step("bucket", "bucketize", ["l_quantity"], {"buckets": 4}), Step("normalized", "normalize", ["l_extendedprice"])]).fit(df)
+    return plan.apply(df, ["bucket", "normalized"]).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), _r(F.avg("normalized")).alias("mean_normalized"))
+
+
+@query("""
+SELECT 'l_quantity' AS feature, min(l_quantity) AS minimum, max(l_quantity) AS maximum, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS deviation FROM lineitem
+UNION ALL SELECT 'l_extendedprice', min(l_extendedprice), max(l_extendedprice), round(avg(l_extendedprice), 6), round(stddev_pop(l_extendedprice), 6) FROM lineitem
+""")
+def stats_numeric(t):
+    df = t("lineitem")
+    names = ("l_quantity", "l_extendedprice")
+    one = df.agg(*[F.struct(F.lit(n).alias("feature"), *statistics.numeric_aggregates(n)).alias(n) for n in names])
+    return one.select(F.explode(F.array(*names)).alias("s")).select("s.feature", "s.minimum", "s.maximum", _r(F.col("s.mean")).alias("mean"), _r(F.col("s.deviation")).alias("deviation"))
+
+
+@query("""
+SELECT k::INTEGER AS k, round(x, 6) AS boundary FROM (
+  SELECT unnest(range(1, 10)) AS k, unnest(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS x FROM lineitem)
+""")
+def stats_percentiles(t):
+    found = t("lineitem").agg(statistics.percentiles("l_extendedprice", 10).alias("b"))
+    return found.select(F.posexplode("b").alias("i", "x")).select((F.col("i") + 1).alias("k"), _r(F.col("x")).alias("boundary"))
+
+
+@query("SELECT p_brand AS value, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand HAVING count(*) >= 40")
+def vocab_threshold(t):
+    return statistics.vocabulary(t("part"), "p_brand", 40)
+
+
+@query("SELECT count(DISTINCT c_nationkey) AS n_distinct, 3 * count(DISTINCT c_nationkey) AS bins FROM customer")
+def hash_size(t):
+    found = t("customer").agg(F.count_distinct("c_nationkey").alias("n_distinct"))
+    return found.withColumn("bins", statistics.hash_bucket_size(F.col("n_distinct")))
+
+
+@query("SELECT DISTINCT p_type AS value FROM part")
+def distinct_values(t):
+    return t("part").select(F.col("p_type").alias("value")).distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_extendedprice - lo) / nullif(hi - lo, 0), 6) AS normalized FROM lineitem, (SELECT min(l_extendedprice) lo, max(l_extendedprice) hi FROM lineitem)")
+def normalize_minmax(t):
+    df = t("lineitem")
+    row = df.agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    return df.crossJoin(F.broadcast(row)).select("l_orderkey", "l_linenumber", _r(transforms.min_max(F.col("lo"), F.col("hi"))(F.col("l_extendedprice"))).alias("normalized"))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - m) / nullif(s, 0), 6) AS standardized FROM orders, (SELECT avg(o_totalprice) m, stddev_pop(o_totalprice) s FROM orders)")
+def standardize(t):
+    df = t("orders")
+    row = df.agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"))
+    return df.crossJoin(F.broadcast(row)).select("o_orderkey", _r(transforms.standardize(F.col("m"), F.col("s"))(F.col("o_totalprice"))).alias("standardized"))
+
+
+@query("SELECT o_orderkey, round(((o_totalprice::FLOAT - 1000::FLOAT) / 2::FLOAT)::FLOAT::DOUBLE, 3) AS scaled FROM orders")
+def normalizer_f32(t):
+    return t("orders").select("o_orderkey", _r(transforms.normalizer(1000.0, 2.0)(F.col("o_totalprice")).cast("double"), 3).alias("scaled"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ((l_quantity >= 5)::INT + (l_quantity >= 10)::INT + (l_quantity >= 25)::INT + (l_quantity >= 40)::INT)::BIGINT AS bucket FROM lineitem")
+def bucketize(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", transforms.bucketize([5, 10, 25, 40])(F.col("l_quantity")).alias("bucket"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 0 AND round_even(ln(o_totalprice) / ln(2), 0) BETWEEN 0 AND 17 THEN round_even(ln(o_totalprice) / ln(2), 0)::BIGINT ELSE 0 END AS id FROM orders")
+def log_round(t):
+    return t("orders").select("o_orderkey", transforms.log_round(18, 0, 2.0)(F.col("o_totalprice")).alias("id"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN round_even(l_quantity / 2, 0) BETWEEN 0 AND 19 THEN round_even(l_quantity / 2, 0)::BIGINT ELSE 0 END AS id FROM lineitem")
+def round_identity(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", transforms.round_identity(20)(F.col("l_quantity") / 2).alias("id"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE'], c_mktsegment), 0) - 1, 3)::BIGINT AS id FROM customer")
+def index_lookup(t):
+    return t("customer").select("c_custkey", transforms.index_lookup(SEGMENTS)(F.col("c_mktsegment")).alias("id"))
+
+
+@query("""
+WITH v AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS id FROM part GROUP BY p_type HAVING count(*) >= 12), n AS (SELECT count(*) AS size FROM v)
+SELECT p_partkey, coalesce(v.id, size)::BIGINT AS id FROM part LEFT JOIN v USING (p_type), n
+""")
+def index_lookup_table(t):
+    part = t("part")
+    words = sharding.row_numbers(statistics.vocabulary(part, "p_type", 12).withColumn("minus", -F.col("n")), ["minus", "value"], "id")
+    size = words.agg(F.count(F.lit(1)).alias("size"))
+    joined = part.join(words.select(F.col("value").alias("p_type"), "id"), "p_type", "left").crossJoin(F.broadcast(size))
+    return joined.select("p_partkey", F.coalesce("id", "size").cast("bigint").alias("id"))
+
+
+@query("SELECT event_id, coalesce(nullif(regexp_extract(props, '([0-9]+)', 1), '')::BIGINT, -1) AS number FROM events")
+def to_number(t):
+    return t("events").select("event_id", transforms.to_number("bigint", -1)(F.regexp_extract(F.coalesce("props", F.lit("")), "([0-9]+)", 1)).alias("number"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> ''))::BIGINT AS n, len(list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')))::BIGINT AS n_distinct FROM documents")
+def ragged_filter(t):
+    kept = transforms.to_ragged(" ", "")(F.coalesce("text", F.lit("")))
+    return t("documents").select("doc_id", kept.alias("kept")).select("doc_id", F.size("kept").cast("bigint").alias("n"), F.size(F.array_distinct("kept")).cast("bigint").alias("n_distinct"))
+
+
+@query("""
+SELECT p_partkey, pos::BIGINT AS pos, value FROM (SELECT p_partkey, unnest(range(0, 3)) AS pos, unnest([nullif(p_brand, 'Brand#11'), nullif(p_type, ''), p_name]) AS value FROM part) WHERE value IS NOT NULL
+""")
+def sparse_filter(t):
+    array = F.array(F.when(F.col("p_brand") == "Brand#11", "").otherwise(F.col("p_brand")), "p_type", "p_name")
+    return t("part").select("p_partkey", F.explode(transforms.to_sparse("")(array)).alias("s")).select("p_partkey", F.col("s.pos").cast("bigint").alias("pos"), "s.value")
+
+
+@query("SELECT p_partkey, pos::BIGINT AS pos, id::BIGINT AS id FROM (SELECT p_partkey, unnest(range(0, 2)) AS pos, unnest([p_size, 51 + p_partkey % 10]) AS id FROM part)")
+def concat_offset(t):
+    ids = transforms.concat_with_offsets([F.array(F.col("p_size").cast("bigint")), F.array(F.col("p_partkey") % 10)], transforms.id_offsets([51, 10]))
+    return t("part").select("p_partkey", F.posexplode(ids).alias("pos", "id")).select("p_partkey", F.col("pos").cast("bigint").alias("pos"), "id")
+
+
+_FOLD = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256({0}), ''), lambda c: instr('0123456789abcdef', c) - 1)), lambda a, x: (a * 32 + x) % {1})"
+
+
+@query(f"SELECT p_partkey, ({_FOLD.format("p_brand || '_X_' || p_size", 1000)})::BIGINT AS id FROM part")
+def cross_hash(t):
+    crossed = transforms.cross([F.array("p_brand"), F.array("p_size")])[0]
+    return t("part").select("p_partkey", hashing.string_partition(crossed, 1000).alias("id"))
+
+
+@query(f"SELECT c_custkey, ({_FOLD.format('c_name', 7)})::BIGINT AS bucket FROM customer")
+def string_partition(t):
+    return t("customer").select("c_custkey", hashing.string_partition(F.col("c_name"), 7).alias("bucket"))
+
+
+@query("SELECT ((l_partkey - 500) % 16 + 16) % 16 AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+def int_partition(t):
+    return t("lineitem").select(hashing.int_partition(F.col("l_partkey") - 500, 16).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def hash_bucket_exact(t):
+    return t("customer").select("c_custkey", hashing.hash_bucket(100)(F.col("c_name")).alias("bucket"))
+
+
+@query("SELECT p_partkey, i::BIGINT AS i, (CASE WHEN p_size % 5 = i THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = i THEN 1 ELSE 0 END)::DOUBLE AS n FROM part, range(0, 5) r(i)")
+def multi_hot(t):
+    hot = transforms.multi_hot(F.array((F.col("p_size") % 5).cast("bigint"), F.col("p_partkey") % 5), 5)
+    return t("part").select("p_partkey", F.posexplode(hot).alias("i", "n")).select("p_partkey", F.col("i").cast("bigint").alias("i"), F.col("n").cast("double").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, NULL::VARCHAR AS missing FROM orders")
+def kv_flatten(t):
+    kv = F.concat(F.lit("status:"), "o_orderstatus", F.lit(", priority:"), "o_orderpriority", F.lit(",status:"), "o_orderstatus")
+    return key_values.flatten(t("orders").select("o_orderkey", kv.alias("kv")), "kv", ["status", "priority", "missing"], append=["o_orderkey"])
+
+
+@query("SELECT unnest(['price', 'status']) AS name")
+def kv_infer(t):
+    df = t("orders").select("o_orderkey", F.concat(F.lit("status:"), "o_orderstatus", F.lit(",price:"), F.col("o_totalprice").cast("string")).alias("kv"))
+    return df.sparkSession.createDataFrame([(n,) for n in key_values.infer_names(df, "kv", ["o_orderkey"])], "name string")
+
+
+@query("""
+WITH s AS (SELECT 'lineitem' AS name, count(*) AS n FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part)
+SELECT name, i * 1000 AS start, least((i + 1) * 1000, n) AS "end" FROM s, range(0, 1000000) r(i) WHERE i * 1000 < n
+""")
+def shard_manifest(t):
+    sizes = [t(n).agg(F.lit(n).alias("name"), F.lit(0).cast("bigint").alias("start"), F.count(F.lit(1)).alias("count")) for n in ("lineitem", "orders", "part")]
+    return sharding.cut(sizes[0].union(sizes[1]).union(sizes[2]), 1000)
+
+
+@query("""
+WITH f AS (SELECT c_mktsegment AS name, count(*) AS n FROM customer GROUP BY 1), p AS (SELECT name, n, coalesce(sum(n) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f)
+SELECT name, (greatest(b, 50) - b)::BIGINT AS local_start, (least(b + n, 120) - greatest(b, 50))::BIGINT AS count FROM p WHERE b < 120 AND b + n > 50
+""")
+def block_range(t):
+    files = t("customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("count"))
+    return sharding.ranges_of_files(files, 50, 120)
+
+
+@query("SELECT e::INTEGER AS epoch, count(*) AS tasks, sum(least((i + 1) * 500, n) - i * 500)::BIGINT AS records FROM (SELECT count(*) AS n FROM orders), range(0, 1000000) r(i), range(0, 3) g(e) WHERE i * 500 < n GROUP BY 1")
+def epoch_expand(t):
+    size = t("orders").agg(F.lit("orders").alias("name"), F.lit(0).cast("bigint").alias("start"), F.count(F.lit(1)).alias("count"))
+    return sharding.epochs(sharding.cut(size, 500), 3).groupBy("epoch").agg(F.count(F.lit(1)).alias("tasks"), F.sum(F.col("end") - F.col("start")).alias("records"))
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 20 = 0 AS evaluation FROM orders")
+def train_eval_split(t):
+    return sharding.systematic_split(t("orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) < floor(count(*) OVER () * 0.75) AS training FROM orders")
+def ordered_split(t):
+    return readers.ordered_split(t("orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey FROM orders QUALIFY row >= 1000 AND row < 1100")
+def row_range(t):
+    df = readers.row_range(t("orders").select("o_orderkey"), ["o_orderkey"], 1000, 1100)
+    return sharding.row_numbers(df, ["o_orderkey"]).select((F.col("row") + 1000).alias("row"), "o_orderkey")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 END AS code FROM events")
+def label_codes(t):
+    return t("events").select("event_id", readers.label_codes(F.col("event_type"), {"click": 0, "view": 1, "purchase": 2}).alias("code"))
+
+
+def _table(t) -> DataFrame:
+    return t("embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, DIM).cast("array<double>").alias("vec"))
+
+
+def _bags(t) -> DataFrame:
+    ids = F.sort_array(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 600 - 20).alias("id"), F.col("l_discount").alias("w"))))
+    bags = t("lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(ids.alias("a"))
+    return bags.select("key", F.transform("a", lambda s: s["id"]).alias("ids"), F.transform("a", lambda s: s["w"] + 0.5).alias("ws"))
+
+
+def _long(df: DataFrame, key: str, digits: int = 6, vec: str = "vec") -> DataFrame:
+    return df.select(key, F.posexplode(vec).alias("d", "x")).select(key, F.col("d").cast("bigint").alias("d"), (_r(F.col("x"), digits) + F.lit(0.0)).alias("x"))
+
+
+_EACH = "each AS (SELECT l_orderkey AS key, l_linenumber AS ln, l_partkey % 600 - 20 AS id, l_discount + 0.5 AS w FROM lineitem)"
+_DIMS = "e AS (SELECT vec_id AS id, unnest(range(0, 8)) AS d, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings)"
+_COMBINED = """WITH {each}, {dims}, s AS (SELECT key, d, {expr} AS x FROM each JOIN e USING (id) WHERE id >= 0 GROUP BY key, d)
+SELECT k.key, d::BIGINT AS d, round(coalesce(s.x, 0), 6) + 0.0 AS x FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem) k CROSS JOIN range(0, 8) r(d) LEFT JOIN s USING (key, d)"""
+
+
+def _combined_sql(expr: str) -> str:
+    return _COMBINED.format(each=_EACH, dims=_DIMS, expr=expr)
+
+
+@query(_combined_sql("sum(x)"))
+def embed_combine_sum(t):
+    return _long(vectors.combine(_bags(t), _table(t), DIM, "sum"), "key")
+
+
+@query(_combined_sql("sum(x) / count(*)"))
+def embed_combine_mean(t):
+    return _long(vectors.combine(_bags(t), _table(t), DIM, "mean"), "key")
+
+
+@query(_combined_sql("sum(x) / sqrt(count(*))"))
+def embed_combine_sqrtn(t):
+    return _long(vectors.combine(_bags(t), _table(t), DIM, "sqrtn"), "key")
+
+
+@query(_combined_sql("sum(w * x) / sqrt(sum(w * w))"))
+def embed_weighted(t):
+    return _long(vectors.combine(_bags(t), _table(t), DIM, "sqrtn", weights="ws"), "key")
+
+
+@query(f"""WITH {_EACH}, {_DIMS}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ln, id, w) - 1 AS pos FROM each)
+SELECT key, pos::BIGINT AS pos, round(coalesce(e.x, 0), 6) + 0.0 AS x FROM o LEFT JOIN e ON o.id = e.id AND e.d = 0""")
+def embed_lookup(t):
+    found = vectors.lookup(_bags(t), _table(t), DIM)
+    return found.select("key", F.posexplode("vecs").alias("pos", "v")).select("key", F.col("pos").cast("bigint").alias("pos"), (_r(F.col("v")[0]) + F.lit(0.0)).alias("x"))
+
+
+@query(f"WITH {_EACH}, {_DIMS}, s AS (SELECT key, d, sum(x) AS a, sum(x * x) AS b FROM each JOIN e USING (id) WHERE id > 0 GROUP BY key, d) SELECT key, round(sum(a * a - b) / 2, 6) + 0.0 AS value FROM s GROUP BY key")
+def fm_second_order(t):
+    return vectors.fm_second_order(_bags(t), _table(t), DIM).select("key", (_r(F.col("value")) + F.lit(0.0)).alias("value"))
+
+
+@query(f"WITH {_DIMS} SELECT id % 50 AS id, d::BIGINT AS d, round(2 * sum(x), 6) + 0.0 AS x FROM e GROUP BY 1, 2")
+def slices_merge_dedup(t):
+    slices = _table(t).select((F.col("id") % 50).alias("id"), "vec")
+    return _long(vectors.deduplicate(vectors.merge(slices, slices), DIM), "id")
+
+
+@query(f"WITH {_DIMS}, n AS (SELECT id + 250 AS id, d, x + 1 AS x FROM e) SELECT id, d::BIGINT AS d, round(coalesce(n.x, e.x), 6) + 0.0 AS x FROM e FULL JOIN n USING (id, d)")
+def upsert(t):
+    changes = _table(t).select((F.col("id") + 250).alias("id"), F.transform("vec", lambda x: x + 1).alias("vec"))
+    return _long(vectors.upsert(_table(t), changes), "id")
+
+
+@query(f"WITH {_DIMS} SELECT i AS id, r2.d::BIGINT AS d, round(coalesce(x, 0), 6) + 0.0 AS x FROM range(0, 700) r(i) CROSS JOIN range(0, 8) r2(d) LEFT JOIN e ON e.id = i AND e.d = r2.d")
+def dense_matrix(t):
+    return _long(vectors.dense(_table(t), 700, DIM), "id")
+
+
+@query("SELECT vec_id % 4 AS bucket, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY 1")
+def scatter(t):
+    return vectors.scatter(_table(t), 4).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+def _gradients(t) -> DataFrame:
+    return _table(t).where("id % 3 = 0").select("id", F.transform("vec", lambda x: x * 0.5 + 0.25).alias("vec"))
+
+
+def _step_sql(expr: str) -> str:
+    return f"WITH {_DIMS} SELECT id, d::BIGINT AS d, round(CASE WHEN id % 3 = 0 THEN {expr} ELSE x END, 5) + 0.0 AS x FROM e"
+
+
+_G = "(x * 0.5 + 0.25)"
+
+
+@query(_step_sql(f"x - 0.1 * {_G}"))
+def sgd(t):
+    return _long(updates.step(_table(t), _gradients(t), updates.Optimizer("sgd", 0.1), DIM), "id", 5)
+
+
+@query(_step_sql(f"x - 0.1 * ({_G} + 0.9 * {_G})"))
+def momentum(t):
+    return _long(updates.step(_table(t), _gradients(t), updates.Optimizer("momentum", 0.1, nesterov=True), DIM), "id", 5)
+
+
+@query(_step_sql(f"x - 0.1 * sqrt(1 - 0.999) / (1 - 0.9) * (0.1 * {_G}) / (sqrt(0.001 * {_G} * {_G}) + 1e-8)"))
+def adam(t):
+    return _long(updates.step(_table(t), _gradients(t), updates.Optimizer("adam", 0.1, amsgrad=True), DIM), "id", 5)
+
+
+@query(_step_sql(f"x - 0.1 * {_G} / (sqrt(0.1 + {_G} * {_G}) + 1e-8)"))
+def adagrad(t):
+    return _long(updates.step(_table(t), _gradients(t), updates.Optimizer("adagrad", 0.1), DIM), "id", 5)
+
+
+@query("""
+WITH g AS (SELECT event_type AS name, user_id AS id, value, event_id % 10 AS version FROM events WHERE event_id % 10 >= 7)
+SELECT name, CASE WHEN id % 2 = 0 THEN id END AS id, round(CASE WHEN id % 2 = 0 THEN sum(value) ELSE NULL END, 4) AS x FROM g WHERE id % 2 = 0 GROUP BY name, id
+UNION ALL SELECT name, NULL, round(sum(value) / 2, 4) FROM g WHERE id % 2 = 1 GROUP BY name
+""")
+def sync_accumulate(t):
+    g = t("events").select(F.col("event_type").alias("name"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("id"), F.array("value").alias("vec"), (F.col("event_id") % 10).alias("version"))
+    dense, sparse = updates.accumulate(updates.accepted(g, 9, 2), 1, 2)
+    both = sparse.unionByName(dense.withColumn("id", F.lit(None).cast("bigint")))
+    return both.select("name", "id", _r(F.col("vec")[0], 4).alias("x"))
+
+
+@query("SELECT event_id, round(0.1 / greatest(1, 9 - event_id % 10), 6) AS lr FROM events")
+def staleness(t):
+    return t("events").select("event_id", _r(updates.stale_rate(0.1, F.lit(9), F.col("event_id") % 10)).alias("lr"))
+
+
+def _scored(t) -> DataFrame:
+    docs = t("documents").select("doc_id", (F.col("n_chars") % 1000 / 1000.0).alias("p"))
+    return t("labels").select("doc_id", "quality").join(docs, "doc_id")
+
+
+_SCORED = "s AS (SELECT quality AS y, (n_chars % 1000) / 1000.0::DOUBLE AS p FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"WITH {_SCORED} SELECT round(avg(((p > 0.5)::INT = y)::INT::DOUBLE), 6) AS accuracy, round(avg(greatest(4 * p - 2, 0) - (4 * p - 2) * y + ln(1 + exp(-abs(4 * p - 2)))), 6) AS loss FROM s")
+def accuracy_and_loss(t):
+    logit = F.col("p") * 4 - 2
+    return metrics.evaluate(_scored(t), {"accuracy": _r(metrics.accuracy(F.col("p"), F.col("quality"))), "loss": _r(metrics.sigmoid_cross_entropy(logit, F.col("quality")))})
+
+
+@query(f"""
+WITH {_SCORED}, b AS (SELECT least(floor(p * 199), 198) AS bin, sum(y)::DOUBLE AS p1, sum(1 - y)::DOUBLE AS n1 FROM s GROUP BY 1),
+c AS (SELECT *, sum(p1) OVER (ORDER BY bin DESC) AS tp FROM b) SELECT round(sum(n1 * (tp - p1 / 2)) / (sum(p1) * sum(n1)), 6) AS auc FROM c
+""")
+def auc(t):
+    return metrics.auc(_scored(t), "p", "quality").select(_r(F.col("auc")).alias("auc"))
+
+
+@query(f"""
+WITH {_SCORED}, b AS (SELECT p, sum(y)::DOUBLE AS p1, sum(1 - y)::DOUBLE AS n1 FROM s GROUP BY 1),
+c AS (SELECT *, coalesce(sum(n1) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b) SELECT round(sum(p1 * (below + n1 / 2)) / (sum(p1) * sum(n1)), 6) AS auc FROM c
+""")
+def exact_auc(t):
+    return metrics.exact_auc(_scored(t), "p", "quality").select(_r(F.col("auc")).alias("auc"))
+
+
+@query("""
+WITH v AS (SELECT label, embedding[1:4] AS z, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS best FROM embeddings)
+SELECT round(avg((best = label % 4)::INT::DOUBLE), 6) AS accuracy,
+       round(avg(ln(list_sum(list_transform(z, lambda x: exp(x::DOUBLE - list_max(z)::DOUBLE)))) + list_max(z)::DOUBLE - z[label % 4 + 1]::DOUBLE), 6) AS loss FROM v
+""")
+def argmax_and_softmax(t):
+    df = t("embeddings").select(F.slice("embedding", 1, 4).cast("array<double>").alias("z"), (F.col("label") % 4).alias("y"))
+    return metrics.evaluate(df, {"accuracy": _r(metrics.argmax_accuracy(F.col("z"), F.col("y"))), "loss": _r(metrics.softmax_cross_entropy(F.col("z"), F.col("y")))})
+
+
+@query("SELECT event_id % 10 AS version, round(avg(((value > 50)::INT = user_id % 2)::INT::DOUBLE), 6) AS accuracy FROM events WHERE (event_id % 10) % 3 = 0 AND event_id % 10 > 2 GROUP BY 1")
+def versioned_evaluation(t):
+    df = t("events").select((F.col("event_id") % 10).alias("version"), "value", (F.col("user_id") % 2).alias("y"))
+    df = df.where(metrics.due(F.col("version"), 3, 2))
+    return metrics.evaluate(df, {"accuracy": _r(metrics.accuracy(F.col("value"), F.col("y"), 50.0))}, ["version"])
+
+
+@query(f"""
+WITH v AS (SELECT p_brand AS w, row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS id FROM part GROUP BY p_brand), n AS (SELECT count(*) AS k FROM v),
+f AS (SELECT p_partkey, v.id AS brand, (p_size >= 10)::INT + (p_size >= 20)::INT + (p_size >= 30)::INT AS size, {_FOLD.format("p_brand || '_X_' || p_size", 100)} AS crossed, k FROM part JOIN v ON p_brand = w, n)
+SELECT p_partkey, pos::BIGINT AS pos, id::BIGINT AS id FROM (SELECT p_partkey, unnest(range(0, 3)) AS pos, unnest([brand, size + k + 1, crossed + k + 1 + 4]) AS id FROM f)
+""")
+def feature_plan_group(t):
+    df = t("part")
+    plan = FeaturePlan(
+        [
+            Step("ids", "group", ["brand", "size", "brand_size"]),
+            Step("brand", "lookup", ["p_brand"]),
+            Step("size", "bucketize", ["p_size"], {"boundaries": [10.0, 20.0, 30.0]}),
+            Step("brand_size", "cross", ["p_brand", "p_size"], {"bins": 100}),
+        ]
+    ).fit(df)
+    ids = FeaturePlan.from_json(plan.to_json()).apply(df, ["ids"], ["p_partkey"])
+    return ids.select("p_partkey", F.posexplode("ids").alias("pos", "id")).select("p_partkey", F.col("pos").cast("bigint").alias("pos"), "id")
+
+
+@query("SELECT l_orderkey, l_extendedprice, l_shipmode FROM (SELECT l_orderkey, l_extendedprice, l_returnflag AS l_shipmode FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 10)")
+def pruned_scan(t):
+    df = t("lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 10))
+    return df.select("l_orderkey", "l_extendedprice", F.col("l_returnflag").alias("l_shipmode"))
+
+
+@query("SELECT event_id FROM events WHERE props IS NOT NULL AND props <> ''")
+def nonempty_records(t):
+    return readers.nonempty(t("events"), "props").select("event_id")
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) = 1")
+def first_turns(t):
+    return readers.first_of(t("conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn", "role"])
+
+
+@query("SELECT o_orderkey, coalesce(o_custkey, 0) AS customer, coalesce(o_totalprice, 0)::FLOAT::DOUBLE AS price, octet_length(encode(trim(o_orderpriority)))::BIGINT AS n FROM orders")
+def typed_records(t):
+    made = readers.typed_record(t("orders").select("o_orderkey", F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("b")), {"o_orderkey": "int", "customer": "int", "price": "float", "b": "bytes"})
+    return made.select("o_orderkey", "customer", F.col("price").cast("double").alias("price"), F.octet_length("b").cast("bigint").alias("n"))
