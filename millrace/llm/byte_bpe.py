@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from millrace.llm.batches import texts_of
 
 #: Distinct pieces of a generation, and transducer states, that a worker holds before it drops them.
-MOST_PIECES = 120_000
-MOST_STATES = 60_000
+MOST_PIECES = 300_000
+MOST_STATES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
