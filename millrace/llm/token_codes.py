@@ -13,6 +13,7 @@ directory.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ MAGIC = int.from_bytes(b"DACSEG01", "little")
 BLOCK = 512
 #: Ids in a segment; a longer document has a segment of its own.
 SEGMENT = 1 << 19
-MOST_WORDS = 350_000
+MOST_WORDS = 220_000
 
 
 def pack(ids: np.ndarray, doc_starts: np.ndarray) -> bytes:
@@ -112,6 +113,7 @@ class WordEncoder(dict):
     MARK = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=\s|\Z)")
 
     def __init__(self, path: str, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -149,19 +151,38 @@ class WordEncoder(dict):
             return text.split()
         return self.MARK.sub(r" \1", text.lower()).split()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        self[word] = ids = self.whole(word) if ids is None else ids
-        return ids
+    def add(self, words: set[str]) -> None:
+        """Brings in words that this generation lacks."""
+        known = words & self.older.keys()
+        self.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        new = words - known
+        letters = [w for w in new if w.isalpha() and max(w) <= "\xff"]
+        self.learn(letters)
+        for w in new.difference(letters):
+            self[w] = self.whole(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
         if len(self) > MOST_WORDS:
             self.older = dict(self)
             self.clear()
-        new = [w for w in set().union(*filter(None, split)) if w not in self and w not in self.older]
-        self.learn([w for w in new if w.isalpha() and max(w) <= "\xff"])
-        return [self.whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        split = [self.words(t) for t in texts]
+        found = [None if words is None else list(map(self.get, words)) for words in split]
+        gaps = [[] if ids is None else _places(ids, None) for ids in found]
+        self.add({words[i] for words, places in zip(split, gaps, strict=True) for i in places})
+        for words, ids, places in zip(split, found, gaps, strict=True):
+            for i in places:
+                ids[i] = self[words[i]]
+        return [self.whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
+
+
+def _places(items: list, wanted) -> list[int]:
+    out, at = [], -1
+    try:
+        while True:
+            at = items.index(wanted, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -200,7 +221,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, id_
             bucket = np.searchsorted(wide, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
             bucket = np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, bucket)
             texts = texts_of(batch)
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, 1_000_000):
                 coded = [c + end for c in encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b].astype(np.int32)), keys.slice(a, b - a), pa.array(coded, pa.binary())], ["bucket", "id", "ids"])
 
