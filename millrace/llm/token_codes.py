@@ -14,7 +14,6 @@ directory.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +31,7 @@ MAGIC = int.from_bytes(b"DACSEG01", "little")
 BLOCK = 512
 #: Ids in a segment; a longer document has a segment of its own.
 SEGMENT = 1 << 19
-MOST_WORDS = 220_000
+MOST_WORDS = 260_000
 
 
 def pack(ids: np.ndarray, doc_starts: np.ndarray) -> bytes:
@@ -108,9 +107,9 @@ class WordEncoder(dict):
     that frequent words stay while memory is bounded.
     """
 
-    ODD = re.compile("[\x1c-\x1f]")
-    #: A comma or full stop between a letter and white space is a piece of its own.
-    MARK = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=\s|\Z)")
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    #: A comma or full stop after a word of letters is a piece of its own.
+    MARKS = (".", ",")
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -143,13 +142,18 @@ class WordEncoder(dict):
 
     def words(self, text: str) -> list[str] | None:
         """Pieces that are encoded one by one; None for a text that must be encoded whole."""
-        if self.ODD.search(text):
+        if any(c in text for c in self.ODD):
             return None
-        try:
-            text.encode("latin-1")  # there, case is folded alike and no marks are composed
-        except UnicodeEncodeError:
-            return text.split()
-        return self.MARK.sub(r" \1", text.lower()).split()
+        if not text.isascii():
+            try:
+                text.encode("latin-1")  # up to there, case is folded alike and no marks are composed
+            except UnicodeEncodeError:
+                return text.split()
+        return text.lower().split()
+
+    def core(self, word: str) -> str:
+        """The word without a mark at its end, if the rest is letters; else all of it."""
+        return word[:-1] if word.endswith(self.MARKS) and word[:-1].isalpha() and max(word) <= "\xff" else word
 
     def add(self, words: set[str]) -> None:
         """Brings in words that this generation lacks."""
@@ -168,10 +172,12 @@ class WordEncoder(dict):
         split = [self.words(t) for t in texts]
         found = [None if words is None else list(map(self.get, words)) for words in split]
         gaps = [[] if ids is None else _places(ids, None) for ids in found]
-        self.add({words[i] for words, places in zip(split, gaps, strict=True) for i in places})
+        wanted = {self.core(words[i]) for words, places in zip(split, gaps, strict=True) for i in places}
+        self.add(wanted.union(self.MARKS).difference(self.keys()))
         for words, ids, places in zip(split, found, gaps, strict=True):
             for i in places:
-                ids[i] = self[words[i]]
+                word = words[i]
+                ids[i] = self[word] if word in self else self[word[:-1]] + self[word[-1]]
         return [self.whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
 
 
