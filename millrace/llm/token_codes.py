@@ -31,7 +31,7 @@ MAGIC = int.from_bytes(b"DACSEG01", "little")
 BLOCK = 512
 #: Ids in a segment; a longer document has a segment of its own.
 SEGMENT = 1 << 19
-MOST_WORDS = 260_000
+MOST_WORDS = 170_000
 
 
 def pack(ids: np.ndarray, doc_starts: np.ndarray) -> bytes:
@@ -157,9 +157,13 @@ class WordEncoder(dict):
 
     def add(self, words: set[str]) -> None:
         """Brings in words that this generation lacks."""
-        known = words & self.older.keys()
-        self.update(zip(known, map(self.older.__getitem__, known), strict=True))
-        new = words - known
+        new = set()
+        for w in words:
+            ids = self.older.get(w)
+            if ids is None:
+                new.add(w)
+            else:
+                self[w] = ids
         letters = [w for w in new if w.isalpha() and max(w) <= "\xff"]
         self.learn(letters)
         for w in new.difference(letters):
@@ -172,8 +176,8 @@ class WordEncoder(dict):
         split = [self.words(t) for t in texts]
         found = [None if words is None else list(map(self.get, words)) for words in split]
         gaps = [[] if ids is None else _places(ids, None) for ids in found]
-        wanted = {self.core(words[i]) for words, places in zip(split, gaps, strict=True) for i in places}
-        self.add(wanted.union(self.MARKS).difference(self.keys()))
+        wanted = {self.core(words[i]) for words, places in zip(split, gaps, strict=True) for i in places}.union(self.MARKS)
+        self.add({w for w in wanted if w not in self})
         for words, ids, places in zip(split, found, gaps, strict=True):
             for i in places:
                 word = words[i]
