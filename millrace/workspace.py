@@ -15,11 +15,12 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that the operators rely on; safe to call again and again.
 
-    Arrow batches are kept small in rows because one text may be very long, and
-    Python workers that Spark starts from here on can import this package.
+    Arrow batches are kept small in rows and bytes because one text may be very long,
+    and Python workers that Spark starts from here on can import this package.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
