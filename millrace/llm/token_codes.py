@@ -30,8 +30,8 @@ from millrace.workspace import new_path
 MAGIC = int.from_bytes(b"DACSEG01", "little")
 BLOCK = 512
 #: Ids in a segment; a longer document has a segment of its own.
-SEGMENT = 1 << 19
-MOST_WORDS = 170_000
+SEGMENT = 1 << 16
+MOST_WORDS = 320_000
 
 
 def pack(ids: np.ndarray, doc_starts: np.ndarray) -> bytes:
@@ -231,7 +231,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, id_
             bucket = np.searchsorted(wide, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
             bucket = np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, bucket)
             texts = texts_of(batch)
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, 2_000_000):
                 coded = [c + end for c in encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[a:b].astype(np.int32)), keys.slice(a, b - a), pa.array(coded, pa.binary())], ["bucket", "id", "ids"])
 
