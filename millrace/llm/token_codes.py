@@ -14,6 +14,7 @@ directory.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -108,8 +109,9 @@ class WordEncoder(dict):
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-    #: A comma or full stop after a word of letters is a piece of its own.
-    MARKS = (".", ",")
+    #: A comma or full stop between a letter and white space is a piece of its own. The mark
+    #: is sought first, and what stands before it is looked at then.
+    MARK = re.compile(r"([.,])(?=\s|\Z)(?<=[a-z\xdf-\xf6\xf8-\xff].)")
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -149,11 +151,7 @@ class WordEncoder(dict):
                 text.encode("latin-1")  # up to there, case is folded alike and no marks are composed
             except UnicodeEncodeError:
                 return text.split()
-        return text.lower().split()
-
-    def core(self, word: str) -> str:
-        """The word without a mark at its end, if the rest is letters; else all of it."""
-        return word[:-1] if word.endswith(self.MARKS) and word[:-1].isalpha() and max(word) <= "\xff" else word
+        return self.MARK.sub(r" \1", text.lower()).split()
 
     def add(self, words: set[str]) -> None:
         """Brings in words that this generation lacks."""
@@ -176,12 +174,10 @@ class WordEncoder(dict):
         split = [self.words(t) for t in texts]
         found = [None if words is None else list(map(self.get, words)) for words in split]
         gaps = [[] if ids is None else _places(ids, None) for ids in found]
-        wanted = {self.core(words[i]) for words, places in zip(split, gaps, strict=True) for i in places}.union(self.MARKS)
-        self.add({w for w in wanted if w not in self})
+        self.add({words[i] for words, places in zip(split, gaps, strict=True) for i in places})
         for words, ids, places in zip(split, found, gaps, strict=True):
             for i in places:
-                word = words[i]
-                ids[i] = self[word] if word in self else self[word[:-1]] + self[word[-1]]
+                ids[i] = self[words[i]]
         return [self.whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
 
 
