@@ -7,6 +7,8 @@ from functools import lru_cache
 import numpy as np
 
 GRAM, WINDOW = 16, 128
+#: Windows in a block; a place inside a block fits 24 bits.
+BLOCK = 1 << 23
 _BASE = 0x2545F4914F6CDD1D
 
 
@@ -47,6 +49,17 @@ class Prints:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def _least(prints: Prints, begin: int, end: int) -> np.ndarray:
+    """For each window of the places begin..end-1 the place of its least fingerprint."""
+    at = np.arange(begin, end)
+    key = (prints.of(at, at + GRAM) >> np.uint64(24) << np.uint64(24)) | (at - begin).astype(np.uint64)
+    size = 1
+    while size < WINDOW:
+        key = np.minimum(key[:-size], key[size:])
+        size *= 2
+    return (key & np.uint64((1 << 24) - 1)).astype(np.int64) + begin
+
+
 def minimizers(prints: Prints, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, lo, hi): for the starts p in lo..hi of strings of `length` bytes, the same anchor.
 
@@ -58,12 +71,7 @@ def minimizers(prints: Prints, bounds: np.ndarray, length: int) -> tuple[np.ndar
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none
-    at = np.arange(n - GRAM + 1)
-    key = (prints.of(at, at + GRAM) >> np.uint64(24) << np.uint64(24)) | at.astype(np.uint64)
-    size = 1
-    while size < WINDOW:
-        key = np.minimum(key[:-size], key[size:])
-        size *= 2
+    least = np.concatenate([_least(prints, b, min(b + BLOCK + WINDOW - 1, n - GRAM + 1)) for b in range(0, n - GRAM - WINDOW + 2, BLOCK)])
     valid = np.zeros(n + 1, np.int8)
     long = np.diff(bounds) >= length
     np.add.at(valid, bounds[:-1][long], 1)
@@ -71,7 +79,7 @@ def minimizers(prints: Prints, bounds: np.ndarray, length: int) -> tuple[np.ndar
     starts = np.flatnonzero(np.cumsum(valid)[:-1])
     if not len(starts):
         return none, none, none
-    anchor = (key[starts] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    anchor = least[starts]
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
     last = np.r_[new[1:], len(starts)] - 1
     return anchor[new], starts[new], starts[last]

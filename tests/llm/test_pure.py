@@ -150,6 +150,15 @@ def test_anchors_depend_on_the_string_alone():
     assert anchors.minimizers(anchors.Prints(text[:300]), np.array([0, 300]), 400)[0].size == 0
 
 
+def test_anchors_of_long_texts_are_found_in_blocks(monkeypatch):
+    data = np.random.default_rng(4).integers(97, 101, 5000).astype(np.uint8)
+    whole = anchors.minimizers(anchors.Prints(data), np.array([0, 1800, 5000]), 400)
+    for block in (1, 700, 4858, 4857):
+        monkeypatch.setattr(anchors, "BLOCK", block)
+        parts = anchors.minimizers(anchors.Prints(data), np.array([0, 1800, 5000]), 400)
+        assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
 def test_spans_of_bytes():
     assert suffix_dedup.merged([(0, 3), (2, 5), (7, 9)]) == [(0, 5), (7, 9)]
     assert suffix_dedup.without(b"0123456789", [(0, 5), (7, 9)]) == b"569"
