@@ -229,13 +229,24 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: floa
     """One row per input row: id, class_id, n_links, n_ngrams.
 
     n_links: how many other rows have a Jaccard coefficient of `threshold` or more, copies
-    counted one by one. class_id: the smallest id that is reached over such links. A text
-    without words (null, empty) has no n-grams, no links and its own id as class. Rows that
-    repeat an id count as separate rows; null ids are the smallest among ids. Other columns
+    counted one by one. class_id: the smallest id that is reached over such links, null only
+    if all of the class are null. A text without words (null, empty) has no n-grams, no links
+    and its own id as class. Rows that repeat an id count as separate rows. Other columns
     are ignored. An empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = _linked(stored(source, "ngram-rows"), threshold, n, tolerance)
+    return found.select(F.col("id").alias(id_col), F.col("class.id").alias("class_id"), "n_links", "n_ngrams")
+
+
+def _linked(source: DataFrame, threshold: float, n: int, tolerance: float) -> DataFrame:
+    """row, id, class, n_links, n_ngrams of a stored table of row, id, text.
+
+    class: the row (struct of missing, id, row) that stands for the class, the one with the
+    smallest id; null ids come after all others, equal ids in the order of row.
+    """
+    kind = source.schema["id"].dataType.simpleString()
+    own = F.struct(F.col("id").isNull().alias("missing"), "id", "row")
     least = least_matches(threshold, tolerance)
 
     def sets_of(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -254,11 +265,12 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: floa
                 keys = pa.array([next(bands) if c else None for c in counts], pa.list_(pa.int64()))
                 coded = pa.array([next(coded).tobytes() if c else None for c in counts], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(counts), keys, coded], ["id", "f1", "f2", "n_ngrams", "bands", "signature"]
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(counts), keys, coded],
+                    ["row", "id", "f1", "f2", "n_ngrams", "bands", "signature"],
                 )
 
-    signed = stored(source.mapInArrow(sign, f"id {kind}, f1 bigint, f2 bigint, n_ngrams bigint, bands array<bigint>, signature binary"), "ngram-signed")
-    classes = signed.where("n_ngrams > 0").groupBy("f1", "f2").agg(F.min("id").alias("least_id"), F.max("id").alias("one_id"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    signed = stored(source.select("row", "id", "text").mapInArrow(sign, f"row bigint, id {kind}, f1 bigint, f2 bigint, n_ngrams bigint, bands array<bigint>, signature binary"), "ngram-signed")
+    classes = signed.where("n_ngrams > 0").groupBy("f1", "f2").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
 
     banded = classes.select("cls", F.posexplode("bands").alias("band", "key"))
@@ -280,21 +292,17 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: floa
     edges = _sorted(members.select(*keys, "block", "cls", "signature"), keys).mapInArrow(link, "a bigint, b bigint")
     near = connected_components(edges).withColumnsRenamed({"node": "cls", "component": "near"})
     near = stored(near.join(near.groupBy("near").agg(F.count(F.lit(1)).alias("rows")), "near"), "ngram-near")
-    wanted = near.join(classes.drop("bands", "signature"), "cls").select("cls", "near", "rows", "size", "f1", "f2", F.col("one_id").alias("id"))
-    texts = wanted.join(source, wanted.id.eqNullSafe(source.id)).select("cls", "near", "rows", "size", "f1", "f2", "text")
+    wanted = near.join(classes.drop("bands", "signature"), "cls").select("cls", "near", "rows", "size", F.col("least.row").alias("row"))
+    texts = wanted.join(source.select("row", "text"), "row").select("cls", "near", "rows", "size", "text")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts, 400_000):
                 part = batch.slice(a, b - a)
-                sets, prints, signed = sets_of(texts[a:b])
-                right = (prints[:, 0] == part.column("f1").to_numpy()) & (prints[:, 1] == part.column("f2").to_numpy())
-                some = np.cumsum([len(s) > 0 for s in sets]) - 1
-                take = np.flatnonzero(right)
-                where = pa.array(take)
+                sets, _, signed = sets_of(texts[a:b])  # all of them have n-grams
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(where) for c in ("cls", "near", "rows", "size")), pa.array([sets[k].tobytes() for k in take], pa.binary()), pa.array([short(signed[some[k]]).tobytes() for k in take], pa.binary())],
+                    [*(part.column(c) for c in ("cls", "near", "rows", "size")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in short(signed)], pa.binary())],
                     ["cls", "near", "rows", "size", "ngrams", "signature"],
                 )
 
@@ -309,8 +317,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: floa
             ngrams = part.column("ngrams")
             out = []
             for a, b in zip(*runs(near, bi, bj), strict=True):
-                _, once = np.unique(cls[a:b], return_index=True)  # an id that is repeated brings its text twice
-                at = a + once
+                at = np.arange(a, b)
                 sets = [np.frombuffer(ngrams[int(k)].as_buffer(), np.uint64) for k in at]
                 cross = block[at][:, None] != block[at][None, :] if bi[a] != bj[a] else None
                 linked = verify_group(sets, signature[at], cross, threshold, least)
@@ -323,12 +330,12 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: floa
     split = _split(verified, ["near"], "rows", GROUP_BLOCK).select(*keys, "block", "cls", "size", "ngrams", "signature")
     pairs = stored(_sorted(split, keys).mapInArrow(verify, "cls bigint, label bigint, links bigint"), "ngram-links")
     joined = connected_components(pairs, "cls", "label").withColumnsRenamed({"node": "cls"})
-    smallest = joined.join(classes, "cls").groupBy("component").agg(F.min("least_id").alias("class_id"))
+    smallest = joined.join(classes, "cls").groupBy("component").agg(F.min("least").alias("class"))
     found = pairs.groupBy("cls").agg(F.sum("links").alias("links")).join(joined.join(smallest, "component"), "cls", "left")
-    per_class = classes.select("cls", "f1", "f2", "size", "least_id").join(found, "cls", "left")
-    per_class = per_class.select("f1", "f2", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.lit(True).alias("some"))
-    out = signed.select("id", "f1", "f2", "n_ngrams").join(stored(per_class, "ngram-result"), ["f1", "f2"], "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("some"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_ngrams")
+    per_class = classes.select("cls", "f1", "f2", "size", "least").join(found, "cls", "left")
+    per_class = per_class.select("f1", "f2", F.coalesce("class", "least").alias("class"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = signed.select("row", "id", "f1", "f2", "n_ngrams").join(stored(per_class, "ngram-result"), ["f1", "f2"], "left")
+    return out.select("row", "id", F.coalesce("class", own).alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_ngrams")
 
 
 def short(signature: np.ndarray) -> np.ndarray:
@@ -341,6 +348,9 @@ def _matrix(column) -> np.ndarray:
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose id is the smallest of their class (a row with an id twice stays twice)."""
-    gone = similar(docs, threshold, id_col=id_col, text_col=text_col).where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each class, all columns: the one with the smallest id; null ids come after all others,
+    and of rows that repeat an id in a class one stays. Rows are told apart by a number, never by id."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "ngram-rows")
+    source = rows.select(F.col("_row").alias("row"), F.col("_doc").getField(id_col).alias("id"), F.col("_doc").getField(text_col).alias("text"))
+    gone = _linked(source, threshold, 5, 1e-7).where("row <> class.row").select(F.col("row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select("_doc.*")
