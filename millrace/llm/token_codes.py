@@ -104,7 +104,8 @@ class WordEncoder(dict):
     The vocabulary drops white space and splits at it, so a text's ids are those of its
     words one after the other; it also folds case and splits letters from a comma or
     full stop after them. Characters on which Python and the library differ as to white
-    space send the whole text through the library. Words are held in two generations, so
+    space send the whole text through the library, and so does the string of an added token
+    of the tokenizer's file, such as <|endoftext|>, which is an id of its own. Words are held in two generations, so
     that frequent words stay while memory is bounded.
     """
 
@@ -119,7 +120,9 @@ class WordEncoder(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library finds in a text before it splits words; whatever the case and place.
+        added = sorted({t.content.lower() for t in self.library.get_added_tokens_decoder().values()} - {""})
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.kind = kind
         self.older: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(True)
@@ -144,7 +147,7 @@ class WordEncoder(dict):
 
     def words(self, text: str) -> list[str] | None:
         """Pieces that are encoded one by one; None for a text that must be encoded whole."""
-        if any(c in text for c in self.ODD):
+        if any(c in text for c in self.ODD) or self.added is not None and self.added.search(text):
             return None
         if not text.isascii():
             try:

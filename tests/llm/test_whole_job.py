@@ -1,6 +1,11 @@
 """What was left out once: each test here failed before the operator did its whole job."""
 
-from millrace.llm import ngram_join
+import numpy as np
+import pytest
+
+from millrace.llm import ngram_join, token_codes
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 A = " ".join(f"alpha{i}" for i in range(60))
 B = " ".join(f"beta{i}" for i in range(60))
@@ -18,3 +23,13 @@ def test_one_of_each_tells_rows_apart_not_ids(spark, tmp_path):
     assert [r[0] for r in got if r[1] and r[1].startswith((C, D))] == [9, None]
     linked = {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar(spark.read.parquet(str(tmp_path / "docs"))).collect()}
     assert {(3, 3, 2), (None, 3, 2), (7, 3, 2), (7, 7, 0), (None, None, 0), (None, None, 2), (9, 9, 2)} <= linked
+
+
+def test_added_tokens_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    fresh, encoder = Tokenizer.from_file(path), token_codes.WordEncoder(path, "<u4")
+    texts = ["hello <|endoftext|> world", "x<|startoftext|>y", "<|ENDOFTEXT|> a.", "É <|endoftext|>. Word, word.", "<|endoftext|><|endoftext|>", "日本 <|startoftext|>x", "<|endoftext |>", "Hello, World. It's"]
+    for t, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
