@@ -5,7 +5,8 @@ frames and bytes and the seek table of a variable-bitrate file, then frames whos
 main data are silent and whose ancillary data carry 192 bytes each, with checksums.
 `read` takes any stream: it skips tags, searches for frame headers and believes one
 only if the next header stands where it says, parses the Xing or VBRI table, verifies
-the checksums, and gives exact durations and the offset of every frame.
+the checksums of Layer III (those of Layers I and II are counted as unverified), and
+gives exact durations and the offset of every frame.
 """
 
 from __future__ import annotations
@@ -138,10 +139,16 @@ class Stream:
     samples: int = 0
     rate: int = 0
     bad_checksums: int = 0
+    #: Frames of Layer I or II that have a checksum, which is not verified.
+    unverified: int = 0
     skipped: int = 0
     tags: list[str] = field(default_factory=list)
     #: Counts of frames and bytes by the variable-bitrate table, and its kind.
     table: tuple[str, int, int] | None = None
+    #: The seek table: for Xing and Info the place of each percent of the duration in 256ths of
+    #: the bytes, for VBRI the bytes of each run of seek_frames frames. Empty if absent or cut short.
+    seek: list[int] = field(default_factory=list)
+    seek_frames: int = 0
     #: Byte offset of each frame; frame k begins at sample k * samples a frame.
     offsets: list[int] = field(default_factory=list)
     ancillary: list[bytes] = field(default_factory=list)
@@ -173,10 +180,12 @@ def read(data: bytes, with_data: bool = True) -> Stream:
             body += 2
             if h.layer == 3 and checksum(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
                 out.bad_checksums += 1
+            out.unverified += h.layer != 3
         body += h.side if h.layer == 3 else 0
         at += h.size
         if not out.frames and out.table is None and (table := _table(data, start, body)):
             out.table = table
+            out.seek, out.seek_frames = _seek(data, start, body, at)
             continue
         out.frames += 1
         out.samples += h.samples
@@ -223,6 +232,19 @@ def _table(data: bytes, start: int, body: int) -> tuple[str, int, int] | None:
     return None
 
 
+def _seek(data: bytes, start: int, body: int, end: int) -> tuple[list[int], int]:
+    """The seek table of the frame from start to end, which holds a table, and the frames of an entry (VBRI)."""
+    if data[body : body + 4] in (b"Xing", b"Info"):
+        flags = int.from_bytes(data[body + 4 : body + 8], "big")
+        at = body + 8 + 4 * (flags & 1) + 4 * (flags >> 1 & 1)
+        return (list(data[at : at + 100]), 0) if flags & 4 and at + 100 <= end else ([], 0)
+    entries, scale, size, frames = (int.from_bytes(data[start + k : start + k + 2], "big") for k in (54, 56, 58, 60))
+    at = start + 62
+    if not size or at + entries * size > end:
+        return [], 0
+    return [int.from_bytes(data[a : a + size], "big") * scale for a in range(at, at + entries * size, size)], frames
+
+
 def payload_of(stream: Stream) -> bytes:
     """What `wrap` has stored."""
     return b"".join([a[:UNIT] for a in stream.ancillary])
@@ -253,13 +275,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """What the stored streams hold: one row per row of `media` (a null stream counts as empty bytes).
 
-    duration_samples / sample_rate is the exact duration; offset of frame k is
-    first_offset + k * frame_bytes where all frames are alike, else `frame_offsets` of `read`.
+    duration_samples / sample_rate is the exact duration; frame_offsets has the byte offset of
+    every frame, in order. seek_table is the Xing or VBRI table's as in `Stream.seek`, with
+    seek_frames frames an entry for VBRI (else 0). bad_checksums counts Layer III frames only;
+    unverified_checksums are the frames of Layers I and II that have one.
     """
     kind = media.schema[id_col].dataType.simpleString()
     out_schema = (
         f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, "
-        "feature string, duration_samples bigint, sample_rate bigint, bad_checksums bigint, skipped_bytes bigint"
+        "feature string, duration_samples bigint, sample_rate bigint, bad_checksums bigint, skipped_bytes bigint, "
+        "unverified_checksums bigint, frame_offsets array<bigint>, seek_table array<bigint>, seek_frames bigint"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +300,9 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     f"first={s.offsets[0] if s.offsets else -1};last={s.offsets[-1] if s.offsets else -1};"
                     f"offsets={zlib.crc32(struct.pack(f'<{len(s.offsets)}Q', *s.offsets))};bad={s.bad_checksums};skipped={s.skipped}"
                 )
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, s.samples, s.rate, s.bad_checksums, s.skipped))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 10, kinds, strict=True)]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, s.samples, s.rate, s.bad_checksums, s.skipped, s.unverified, s.offsets, s.seek, s.seek_frames))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *columns], names=[f.split()[0] for f in out_schema.split(", ")])
 
     return media.selectExpr(f"`{id_col}` AS id", "n_bytes", "media").mapInArrow(run, out_schema).withColumnRenamed("id", id_col)
