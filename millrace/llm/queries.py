@@ -39,7 +39,7 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentence_dedup.deduplicate(_documents(spark, sf_dir))
-    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_sentences", "n_removed", "n_shared", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
@@ -96,18 +96,24 @@ def queries() -> dict:
 
 
 OP5_SQL = r"""
-WITH s AS (
-  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
-  FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\n]*(?:[.!?]+|\n|\z)[ \t\r\n]*'), lambda x: x <> '') AS p FROM documents)),
-n AS (SELECT *, trim(regexp_replace(piece, '[ \t\r\n]+', ' ', 'g'), ' ') AS t FROM s),
-r AS (
-  SELECT doc_id, i, [t, lead(t, 1) OVER w, lead(t, 2) OVER w] AS run, lead(i, 2) OVER w AS last
-  FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-l AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r WHERE last IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM l WHERE k > 1),
-m AS (SELECT n.doc_id, n.i, n.piece, g.i IS NOT NULL AS gone FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.i = g.i),
-c AS (SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+WITH p AS (
+  SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?,;:\n]*(?:[.!?,;:]+|\n|\z)[ \t\r\n]*'), lambda x: x <> '') AS pieces FROM documents),
+t AS (SELECT doc_id, pieces, list_transform(pieces, lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'), ' ')) AS plain FROM p),
+s AS (SELECT doc_id, unnest(plain) AS t, unnest(pieces) AS piece, generate_subscripts(plain, 1) AS i FROM t),
+n AS (
+  SELECT doc_id, i, piece, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS words,
+         sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM s),
+u AS (SELECT doc_id, upto, min(i) AS i FROM n GROUP BY doc_id, upto),
+e AS (SELECT n.doc_id, n.i, greatest(u.i, n.i + 1) AS last FROM n ASOF JOIN u ON n.doc_id = u.doc_id AND n.upto - n.words + 16 <= u.upto),
+r AS (SELECT e.doc_id, e.i, last, array_to_string(plain[e.i:last], chr(1)) AS run FROM e JOIN t USING (doc_id) WHERE last <= len(plain)),
+l AS (SELECT doc_id, i, last, first_value(doc_id) OVER w AS first_doc, row_number() OVER w AS k FROM r WINDOW w AS (PARTITION BY run ORDER BY doc_id, i)),
+g AS (SELECT doc_id, unnest(range(i, last + 1)) AS i, doc_id <> first_doc AS shared FROM l WHERE k > 1),
+h AS (SELECT doc_id, i, bool_or(shared) AS shared FROM g GROUP BY doc_id, i),
+m AS (SELECT n.doc_id, n.i, n.piece, h.i IS NOT NULL AS gone, coalesce(shared, false) AS shared FROM n LEFT JOIN h ON n.doc_id = h.doc_id AND n.i = h.i),
+c AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed, count(*) FILTER (shared) AS n_shared,
+         coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(n_shared, 0) AS n_shared, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN c USING (doc_id)
 """
 

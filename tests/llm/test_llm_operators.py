@@ -145,32 +145,61 @@ def test_token_codes(docs, empty, spark, tmp_path):
     assert token_codes.read_tokens(token_codes.write_tokens(empty, path, str(tmp_path / "b"))).count() == 0
 
 
-def brute_sentences(k=3):
+def brute_sentences(k=2, words=16):
     order = sorted((i for i in range(len(ROWS)) if ROWS[i][0] is not None), key=lambda i: ROWS[i][0])
     order = [i for i in range(len(ROWS)) if ROWS[i][0] is None] + order
-    seen, out = set(), {}
+    seen, out = {}, {}
     for i in order:
         parts = sentence_dedup.sentences(TEXTS[i])
-        plain = [sentence_dedup.SPACE.sub(" ", s).strip(" ") for s in parts]
-        gone = set()
-        for a in range(len(parts) - k + 1):
-            run = tuple(plain[a : a + k])
+        plain = [" ".join(s.split()) for s in parts]
+        gone, shared = set(), set()
+        for a in range(len(parts)):
+            b = next((b for b in range(a + k, len(parts) + 1) if sum(len(p.split()) for p in plain[a:b]) >= words), None)
+            if b is None:
+                continue
+            run = tuple(plain[a:b])
             if run in seen:
-                gone |= set(range(a, a + k))
-            seen.add(run)
-        out.setdefault(ROWS[i][0], []).append((len(parts), len(gone), "".join(s for a, s in enumerate(parts) if a not in gone)))
+                gone |= set(range(a, b))
+                shared |= set(range(a, b)) if seen[run] != i else set()
+            seen.setdefault(run, i)
+        out.setdefault(ROWS[i][0], []).append((len(parts), len(gone), len(shared), "".join(s for a, s in enumerate(parts) if a not in gone)))
     return out
 
 
 def test_sentence_spans(docs, empty):
     got: dict = {}
     for r in sentence_dedup.deduplicate(docs).collect():
-        got.setdefault(r.doc_id, []).append((r.n_sentences, r.n_removed, r.text))
+        got.setdefault(r.doc_id, []).append((r.n_sentences, r.n_removed, r.n_shared, r.text))
     want = brute_sentences()
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert sentence_dedup.deduplicate(empty).count() == 0
 
 
+def test_passages_pasted_into_sentences_are_found(spark, tmp_path):
+    """Passages of over 50 words, pasted at any place between words; texts that share nothing lose nothing to others."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    clause = lambda n: " ".join(word() for _ in range(n)) + rng.choice(".,;.!")
+    text = lambda n: " ".join(clause(rng.randint(1, 17)) for _ in range(n))
+    rows, holders = [], []
+    for g in range(12):
+        passage = text(4)
+        while len(passage.split()) <= 50:
+            passage += " " + clause(rng.randint(1, 17))
+        for c in range(3):
+            before, after = text(6).split(" "), text(6).split(" ")
+            before, after = before[: rng.randint(1, len(before))], after[rng.randint(0, len(after) - 1) :]
+            holders += [len(rows)] * (c > 0)
+            rows.append((len(rows), " ".join([*before, passage.rstrip(".,;!") if g % 2 else passage, *after])))
+    alone = text(8)
+    rows += [(len(rows) + k, text(12)) for k in range(30)] + [(500, "Of it. To, the. Is. " * 1 + text(3)), (501, "Of it. To, the. Is. " + text(3)), (502, alone + "\n" + alone)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    got = {r.doc_id: (r.n_removed, r.n_shared) for r in sentence_dedup.deduplicate(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    assert all(got[i][1] > 0 for i in holders)
+    assert all(got[i][1] == 0 for i in got if i not in holders) and got[502][0] > 0
+    assert all(got[i][0] == 0 for i in got if i not in holders and i != 502)
+
+
 def test_byte_bpe(docs, empty):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern).collect()
