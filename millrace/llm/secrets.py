@@ -2,9 +2,10 @@
 
 The rule regexes are parsed, turned into one nondeterministic automaton over
 bytes, determinised by subset construction, minimised, and laid out as a flat
-transition array. A scan reads each byte of a text once and notes the places
-where some rule can end; only the few texts with such places are looked at again
-to find where the match began.
+transition array. A scan reads each byte of a text once and finds which rules match
+at all. Only the few texts in which some do are read again: from the end, by the same
+automaton reversed, which gives every place where a match begins, and then along each
+match to its end. All of this takes time in proportion to the text's length.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -61,6 +63,15 @@ class _Nfa:
     def edge(self, source: int, symbols: frozenset[int] | None, target: int) -> None:
         self.edges[source].append((symbols, target))
 
+    def reversed(self) -> _Nfa:
+        """The same states, all edges turned round."""
+        out = _Nfa()
+        out.edges = [[] for _ in self.edges]
+        for source, edges in enumerate(self.edges):
+            for symbols, target in edges:
+                out.edge(target, symbols, source)
+        return out
+
     def add(self, items, at: int, any_case: bool) -> int:
         for op, value in items:
             at = self._add(op, value, at, any_case)
@@ -130,14 +141,20 @@ class Dfa:
     dead: int | None = None
 
 
-def compile_rules(rules: tuple[Rule, ...], anchored: bool = False) -> Dfa:
+def compile_rules(rules: tuple[Rule, ...], anchored: bool = False, backwards: bool = False) -> Dfa:
+    """anchored: matches begin at the first byte read. backwards: for a text read from its end."""
     nfa = _Nfa()
     root = nfa.state()
-    ends: dict[int, int] = {}
+    begins, ends = {}, {}
     for k, rule in enumerate(rules):
         begin = nfa.state()
-        nfa.edge(root, None, begin)
+        begins[begin] = k
         ends[nfa.add(sre_parser.parse(rule.pattern), begin, rule.any_case)] = k
+    if backwards:
+        nfa = nfa.reversed()
+        begins, ends = ends, begins
+    for begin in begins:
+        nfa.edge(root, None, begin)
 
     def closure(state: int) -> int:
         """The states that are reached without a byte, as a bit mask."""
@@ -211,53 +228,71 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.dfa = compile_rules(rules)
+        self.back = compile_rules(rules, backwards=True)
         self.single = [compile_rules((rule,), anchored=True) for rule in rules]
         self.parts = [re.compile(r.pattern.encode(), re.IGNORECASE if r.any_case else 0) for r in rules]
 
-    def ends(self, data: bytes) -> list[tuple[int, int]]:
-        """(end, state) wherever some rule can end."""
-        table, border, state = self.dfa.table, self.dfa.border, self.dfa.start
-        found = []
-        for i, b in enumerate(data):
+    def matching(self, data: bytes) -> int:
+        """The rules that match somewhere, as bits: one pass over the bytes."""
+        table, border, state, found = self.dfa.table, self.dfa.border, self.dfa.start, set()
+        for b in data:
             state = table[state + b]
             if state >= border:
-                found.append((i + 1, state))
+                found.add(state)
+        mask = 0
+        for state in found:
+            mask |= self.dfa.accepts[state >> 8]
+        return mask
+
+    def starts(self, data: bytes) -> list[list[int]]:
+        """For each rule the places where a match can begin, ascending: one pass from the end."""
+        table, border, state = self.back.table, self.back.border, self.back.start
+        hits = []
+        for at in range(len(data) - 1, -1, -1):
+            state = table[state + data[at]]
+            if state >= border:
+                hits.append((at, state))
+        found: list[list[int]] = [[] for _ in self.rules]
+        rules_of = {state: [k for k in range(len(self.rules)) if self.back.accepts[state >> 8] >> k & 1] for state in {s for _, s in hits}}
+        for at, state in reversed(hits):
+            for k in rules_of[state]:
+                found[k].append(at)
         return found
 
+    def longest(self, data: bytes, start: int, k: int) -> int:
+        """Where the longest match of rule k from start ends."""
+        dfa = self.single[k]
+        table, border, dead, state, stop = dfa.table, dfa.border, dfa.dead, dfa.start, start
+        for at in range(start, len(data)):
+            state = table[state + data[at]]
+            if state >= border:
+                stop = at + 1
+            elif state == dead:
+                break
+        return stop
+
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) in bytes: leftmost, longest, non-overlapping for each rule."""
-        hits = self.ends(data)
-        if not hits:
+        if not self.matching(data):
             return []
         found = []
-        for k, rule in enumerate(self.rules):
-            bit, at = 1 << k, 0
-            dfa = self.single[k]
-            table, border, dead = dfa.table, dfa.border, dfa.dead
-            for end, state in hits:
-                if end <= at or not self.dfa.accepts[state >> 8] & bit:
+        for k, (rule, starts) in enumerate(zip(self.rules, self.starts(data), strict=True)):
+            at = 0
+            for start in starts:
+                if start < at:
                     continue
-                for start in range(at, end):
-                    s, stop = dfa.start, 0
-                    for i in range(start, len(data)):
-                        s = table[s + data[i]]
-                        if s >= border:
-                            stop = i + 1
-                        elif s == dead:
-                            break
-                    if stop:
-                        at = stop
-                        if not rule.least or len(self.parts[k].match(data, start, stop)[rule.group]) >= rule.least:
-                            found.append((start, stop, k))
-                        break
+                at = self.longest(data, start, k)
+                if not rule.least or len(self.parts[k].match(data, start, at)[rule.group]) >= rule.least:
+                    found.append((start, at, k))
         return sorted(found, key=lambda x: (x[0], x[2]))
 
     def spans_of_text(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points."""
         data = text.encode()
         spans = self.spans(data)
-        if len(data) != len(text):
-            spans = [(len(data[:s].decode()), len(data[:e].decode()), k) for s, e, k in spans]
+        if spans and len(data) != len(text):
+            points = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)]).tolist()
+            spans = [(points[s], points[e], k) for s, e, k in spans]
         return [(self.rules[k].kind, s, e) for s, e, k in spans]
 
 
@@ -271,7 +306,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     One row per input row, in one pass without a shuffle. A null text is empty and
     has no spans; null or repeated ids are carried as they are; other columns are ignored.
-    Positions are code points, the end exclusive. Kinds may overlap each other.
+    Positions are code points, the end exclusive. Kinds may overlap each other. Very long
+    texts and values take time in proportion to their length.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(scanner(rules))  # bounded by the rules
