@@ -9,21 +9,24 @@ settled once it lies on the chain of last tokens of every prefix from which some
 vocabulary entry can still reach over the present end. Such entries have a bounded
 length, which bounds the lookahead.
 
-Decoding. Ids become bytes, and a four-byte-window UTF-8 state machine cuts the byte
-stream at whole characters, so that a stream can be decoded id by id.
+Decoding. An incremental UTF-8 state machine, one step an id, cuts the byte stream at
+whole characters, so that a stream can be decoded id by id.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from millrace.llm.batches import texts_of
 
@@ -182,34 +185,61 @@ UTF8 = _utf8_table()
 
 
 class Decoder:
-    """Ids to bytes; `text` gives whole characters as they become complete."""
+    """Ids to bytes, whole characters at a time: the UTF-8 machine, one step a token.
+
+    The step of a token is compiled from those of its bytes, for each state in which it can
+    begin: the state after it, and how many of its bytes belong to characters that are
+    complete. Bytes that are no UTF-8 count as complete as soon as they are known to be bad.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
+        self.after = [bytearray(len(self.tokens)) for _ in range(8)]
+        self.complete = [array("H", bytes(2 * len(self.tokens))) for _ in range(8)]
+        for start in range(8):
+            for i, token in enumerate(self.tokens):
+                self.after[start][i], self.complete[start][i] = self._step(start, token)
+
+    @staticmethod
+    def _step(state: int, token: bytes) -> tuple[int, int]:
+        done = 0
+        for k, b in enumerate(token):
+            state = UTF8[state][b]
+            if state == 8:  # the bad bytes end before b, which may begin a character
+                done = k
+                state = UTF8[0][b] % 8
+            if not state:
+                done = k + 1
+        return state, done
+
+    def pieces(self, ids: Iterable[int]) -> Iterator[bytes]:
+        """The bytes in pieces that end at the end of a character; what is incomplete is held back, and comes last."""
+        tokens, after, complete = self.tokens, self.after, self.complete
+        state, held = 0, b""
+        for i in ids:
+            token, next_ = tokens[i], after[state][i]
+            if not state and not next_:
+                yield token
+                continue
+            done = complete[state][i]
+            if done:
+                yield held + token[:done]
+                held = token[done:]
+            else:
+                held += token
+            state = next_
+        if held:
+            yield held
 
     def decode(self, ids: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(self.pieces(np.frombuffer(ids, "<u4").tolist()))
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of text, each of whole characters; bytes that are no UTF-8 become U+FFFD."""
-        state, held = 0, b""
-        for i in ids:
-            token, done = self.tokens[i], 0
-            held, size = held + token, len(held)
-            for k, b in enumerate(token, size + 1):
-                state = UTF8[state][b]
-                if state == 8:  # the bad bytes end before b, which may begin a character
-                    state = UTF8[0][b] % 8
-                if not state:
-                    done = k
-            if done:
-                yield held[:done].decode("utf-8", "replace")
-                held = held[done:]
-        if held:
-            yield held.decode("utf-8", "replace")
+        for piece in self.pieces(ids):
+            yield piece.decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -249,18 +279,20 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
     return out.withColumnRenamed("id", id_col)
 
 
-def token_arrays(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encode, with the ids as an array<int>: id, n_tokens, ids."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def token_arrays(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """As encode and decode together: id, the columns in keep, n_tokens, ids array<int>, decoded_sha256."""
+    kept = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = coder(path, pattern)[0].encode
+        encoder, decoder = coder(path, pattern)
         for batch in batches:
-            coded = [one(t) for t in texts_of(batch)]
+            coded = [encoder.encode(t) for t in texts_of(batch, "_text")]
+            digests = [hashlib.sha256(decoder.decode(c)).hexdigest() for c in coded]
             counts = np.array([len(c) // 4 for c in coded], np.int64)
             offsets = pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), ids], ["id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts), ids, pa.array(digests, pa.string())], schema.names)
 
-    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, n_tokens bigint, ids array<int>")
-    return out.withColumnRenamed("id", id_col)
+    made = [StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("decoded_sha256", StringType())]
+    schema = StructType([docs.schema[id_col], *kept, *made])
+    return docs.select(F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)

@@ -204,8 +204,11 @@ def test_byte_bpe(docs, empty):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern).collect()
     assert Counter((r.doc_id, bytes(r.bytes)) for r in rows) == Counter((r[0], t.encode()) for r, t in zip(ROWS, TEXTS, strict=True))
-    arrays = by_id(byte_bpe.token_arrays(docs, path, pattern).collect(), "n_tokens", "ids")
-    assert all(n == len(x) for n, x in arrays.values()) and arrays[63] == (0, [])
+    made = byte_bpe.token_arrays(docs, path, pattern, keep=["lang"])
+    assert made.columns == ["doc_id", "lang", "n_tokens", "ids", "decoded_sha256"]
+    arrays = by_id(made.collect(), "n_tokens", "ids", "decoded_sha256", "lang")
+    assert all(n == len(x) for n, x, _, _ in arrays.values()) and arrays[63] == (0, [], hashlib.sha256(b"").hexdigest(), "en")
+    assert all(arrays[r[0]][2:] == (hashlib.sha256(t.encode()).hexdigest(), r[2]) for r, t in zip(ROWS, TEXTS, strict=True))
     assert byte_bpe.encode(empty, path, pattern).count() == 0
 
 

@@ -80,6 +80,15 @@ def test_stream_decoding_replaces_bad_bytes(coder):
     ranks = coder[0].transducer.ranks
     ids = [ranks[b"\xe6"], ranks[b"a"], ranks[b"\xff"]]
     assert "".join(coder[1].text(ids)) == b"\xe6a\xff".decode("utf-8", "replace")
+    for _ in range(300):  # any bytes: nothing is lost, and nothing that is whole is cut
+        data = "".join(RNG.choice("aé日😀\n") for _ in range(6)).encode()
+        data = data[RNG.randint(0, 3) :] + bytes(RNG.randint(0, 255) for _ in range(RNG.randint(0, 3))) + data
+        ids = [ranks[data[i : i + 1]] for i in range(len(data))]
+        pieces = list(coder[1].pieces(ids))
+        assert b"".join(pieces) == data == coder[1].decode(np.array(ids, "<u4").tobytes())
+        assert "".join(coder[1].text(ids)) == data.decode("utf-8", "replace")
+    whole = "é日😀".encode()
+    assert list(coder[1].pieces([ranks[bytes([b])] for b in whole])) == ["é".encode(), "日".encode(), "😀".encode()]
 
 
 def test_word_encoder_equals_the_library():
