@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.workspace import stored
+
 #: Sources are few: their shares, a row each, are brought to the driver up to this number.
 MOST_SOURCES = 100_000
 #: A source has so many blocks at most, and about so many documents in each until then.
@@ -46,11 +48,12 @@ def largest_repetition(shares: list[float], exponent: float) -> float:
 
 
 def find_exponent(shares: list[float], target_entropy: float | None = None, most_repeats: float | None = None) -> float:
-    """The largest exponent in [0, 1] that meets the target; bisected, to 6 decimals.
+    """The exponent in [0, 1] that meets the target; bisected, to 6 decimals.
 
     Entropy grows and repetition grows as the exponent falls from 1 (the shares as they
-    are) to 0 (all sources alike). A target entropy that no exponent meets gives 0; a
-    repetition limit that all exponents meet gives 0 as well.
+    are) to 0 (all sources alike). For a target entropy the exponent is rounded; one that
+    no exponent meets gives 0. For a repetition limit it is rounded up, so that the limit
+    holds; a limit that all exponents meet gives 0.
     """
     if (target_entropy is None) == (most_repeats is None):
         raise ValueError("give either target_entropy or most_repeats")
@@ -69,25 +72,26 @@ def find_exponent(shares: list[float], target_entropy: float | None = None, most
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (low, middle) if beyond(middle) else (middle, high)
-    return round(high, 6)
+    return round(high, 6) if target_entropy is not None else math.ceil(round(high * 1e6, 3)) / 1e6
 
 
-def plan(docs: DataFrame, most_repeats: float | None = 2.0, target_entropy: float | None = None, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, source, tokens, weight, block, copies, mix_position, row_key.
+def plan(docs: DataFrame, most_repeats: float | None = 2.0, target_entropy: float | None = None, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, source, tokens, weight, block, copies, mix_position, mix_step, and row_col if given.
 
-    copies: how often the document is read (1 at least). mix_position in [0, 1): where its
-    first reading stands, so that ordering by it interleaves the sources evenly. A null
-    source is the source "(none)"; a null text has 0 tokens; a source without tokens is
-    read once. Rows that repeat an id in a source are separate documents with the same
-    place. row_key hashes id, source and text, for joining back. An empty table gives no rows.
+    copies: how often the document is read (1 at least, and never so often that a source is
+    read more than most_repeats times). mix_position in [0, 1]: where its first reading
+    stands, the next ones mix_step further each, so that ordering by it interleaves the
+    sources evenly. A null source is the source "(none)"; a null text has 0 tokens; a source
+    without tokens is read once. Rows that repeat an id in a source are separate documents
+    with the same place. row_col: a column that tells rows apart, carried for joining back.
+    An empty table gives no rows.
     """
     if target_entropy is not None:
         most_repeats = None
     spark = docs.sparkSession
     source = F.coalesce(F.col(f"`{source_col}`"), F.lit(NO_SOURCE))
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"), source.alias("source"), tokens(F.col(f"`{text_col}`")).alias("tokens"), row_key(id_col, source_col, text_col).alias("row_key")
-    ).withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), "source", F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    own = F.col(f"`{row_col}`") if row_col else F.lit(0)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), source.alias("source"), tokens(F.col(f"`{text_col}`")).alias("tokens"), own.alias("_own")).withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), "source", F.coalesce(F.col("id").cast("string"), F.lit("")))))
     sizes = rows.groupBy("source").agg(F.sum("tokens").alias("all_tokens"), F.count(F.lit(1)).alias("n")).orderBy("source").limit(MOST_SOURCES + 1).collect()
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -95,7 +99,8 @@ def plan(docs: DataFrame, most_repeats: float | None = 2.0, target_entropy: floa
     shares = [r.all_tokens / total if total else 0.0 for r in sizes]
     exponent = find_exponent(shares, target_entropy, most_repeats)
     largest = max((r.all_tokens for r in sizes), default=0)
-    budgets = [math.floor((largest / r.all_tokens) ** (1 - exponent) * r.all_tokens + 0.5) if r.all_tokens else 0 for r in sizes]
+    limits = [math.floor(most_repeats * r.all_tokens) if most_repeats is not None else math.inf for r in sizes]
+    budgets = [min(m, math.floor((largest / r.all_tokens) ** (1 - exponent) * r.all_tokens + 0.5)) if r.all_tokens else 0 for r, m in zip(sizes, limits, strict=True)]
     spent = sum(budgets)
     table = [
         (r.source, r.all_tokens, b, round(b / spent, 6) if spent else 0.0, b // r.all_tokens if r.all_tokens else 1, b % r.all_tokens if r.all_tokens else 0, min(MOST_BLOCKS, -(-r.n // BLOCK)))
@@ -109,25 +114,33 @@ def plan(docs: DataFrame, most_repeats: float | None = 2.0, target_entropy: floa
     order = Window.partitionBy("source").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("block"), "source", F.col("block").cast("string"))), "block")
     sums = sums.select("source", "block", F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = inside.join(sums, ["source", "block"]).withColumn("at", F.col("before") + F.col("inside"))
-    return placed.select(
+    spread = lambda x: F.when(F.col("budget") > 0, F.col(x) / F.col("budget")).otherwise(0.0)
+    out = placed.select(
         F.col("id").alias(id_col),
         "source",
         "tokens",
         "weight",
         "block",
         (F.col("passes") + F.when(F.col("at") < F.col("rest"), 1).otherwise(0)).cast("bigint").alias("copies"),
-        F.when(F.col("budget") > 0, F.col("at") / F.col("budget")).otherwise(0.0).alias("mix_position"),
-        "row_key",
+        spread("at").alias("mix_position"),
+        spread("all_tokens").alias("mix_step"),
+        F.col("_own"),
     )
-
-
-def row_key(id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> Column:
-    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`"))
+    return out.withColumnRenamed("_own", row_col) if row_col else out.drop("_own")
 
 
 def mixed(docs: DataFrame, most_repeats: float = 2.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with each row as often as the plan says, all columns as they were."""
-    copies = plan(docs, most_repeats, None, seed, id_col, source_col, text_col).groupBy("row_key").agg(F.max("copies").alias("_copies"))
-    keyed = docs.select(row_key(id_col, source_col, text_col).alias("_key"), F.struct("*").alias("_doc"))
-    joined = keyed.join(copies.withColumnRenamed("row_key", "_key"), "_key")
-    return joined.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")
+    """docs with each row as often as the plan says, all columns as they were, in mixed order.
+
+    Partitions are even ranges of the positions, in order, and rows are sorted in each; so
+    are the files of a table that is written from it.
+    """
+    spark = docs.sparkSession
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "mixing-rows")
+    light = rows.select("_row", *[F.col("_doc").getField(c).alias(a) for c, a in ((id_col, "id"), (source_col, "source"), (text_col, "text"))])
+    placed = plan(light, most_repeats, None, seed, "id", "source", "text", "_row").select("_row", "copies", "mix_position", "mix_step")
+    each = rows.join(placed, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    each = each.withColumn("_position", F.col("mix_position") + F.col("_copy") * F.col("mix_step"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.least(F.floor(F.col("_position") * n), F.lit(n - 1)).cast("int")
+    return each.repartitionById(n, slot).sortWithinPartitions("_position", "_row").select("_doc.*")

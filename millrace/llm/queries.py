@@ -74,7 +74,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(_documents(spark, sf_dir), most_repeats=MOST_REPEATS, seed=MIX_SEED)
-    return plan.select("doc_id", "source", "tokens", "weight", "block", "copies")
+    return plan.select("doc_id", "source", "tokens", "weight", "block", "copies", F.round("mix_position", 9).alias("mix_position"))
 
 
 MOST_REPEATS, MIX_SEED = 2.0, 7
@@ -134,18 +134,19 @@ WITH d AS (
          md5('{MIX_SEED}|' || coalesce(source, '{mixing.NO_SOURCE}') || '|' || coalesce(doc_id::VARCHAR, '')) AS place
   FROM documents),
 s AS (SELECT source, sum(tokens)::BIGINT AS t, count(*) AS n FROM d GROUP BY source),
-e AS (SELECT round(greatest(0, 1 - ln({MOST_REPEATS}) / nullif(ln(max(t)::DOUBLE / min(t) FILTER (t > 0)), 0)), 6) AS a, max(t) AS largest FROM s),
-b AS (SELECT source, t, n, CASE WHEN t > 0 THEN floor(pow(largest::DOUBLE / t, 1 - coalesce(a, 0)) * t + 0.5)::BIGINT ELSE 0 END AS budget FROM s, e),
+e AS (SELECT ceil(round(greatest(0, 1 - ln({MOST_REPEATS}) / nullif(ln(max(t)::DOUBLE / min(t) FILTER (t > 0)), 0)) * 1e6, 3)) / 1e6 AS a, max(t) AS largest FROM s),
+b AS (SELECT source, t, n, CASE WHEN t > 0 THEN least(floor({MOST_REPEATS} * t), floor(pow(largest::DOUBLE / t, 1 - coalesce(a, 0)) * t + 0.5))::BIGINT ELSE 0 END AS budget FROM s, e),
 w AS (
-  SELECT source, CASE WHEN t > 0 THEN budget // t ELSE 1 END AS passes, CASE WHEN t > 0 THEN budget % t ELSE 0 END AS rest,
+  SELECT source, budget, CASE WHEN t > 0 THEN budget // t ELSE 1 END AS passes, CASE WHEN t > 0 THEN budget % t ELSE 0 END AS rest,
          round(budget / sum(budget) OVER (), 6) AS weight, least({mixing.MOST_BLOCKS}, (n + {mixing.BLOCK} - 1) // {mixing.BLOCK}) AS blocks FROM b),
-p AS (SELECT d.*, passes, rest, weight, ('0x' || substr(place, 1, 8))::BIGINT % blocks AS block FROM d JOIN w USING (source)),
+p AS (SELECT d.*, budget, passes, rest, weight, ('0x' || substr(place, 1, 8))::BIGINT % blocks AS block FROM d JOIN w USING (source)),
 i AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, block ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM p),
 k AS (SELECT source, block, sum(tokens) AS block_tokens FROM p GROUP BY source, block),
 o AS (
   SELECT source, block, coalesce(sum(block_tokens) OVER (PARTITION BY source ORDER BY md5('{MIX_SEED}|block|' || source || '|' || block::VARCHAR), block
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
-SELECT doc_id, source, tokens, weight, block::BIGINT AS block, (passes + CASE WHEN before + inside < rest THEN 1 ELSE 0 END)::BIGINT AS copies
+SELECT doc_id, source, tokens, weight, block::BIGINT AS block, (passes + CASE WHEN before + inside < rest THEN 1 ELSE 0 END)::BIGINT AS copies,
+       round(CASE WHEN budget > 0 THEN (before + inside)::DOUBLE / budget ELSE 0 END, 9) AS mix_position
 FROM i JOIN o USING (source, block)
 """
 

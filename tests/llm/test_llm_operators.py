@@ -236,6 +236,21 @@ def test_exact_dedup(docs, empty, digest):
     assert exact_dedup.groups(empty, digest=digest).count() == 0
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, weak])
+def test_exact_dedup_of_later_arrivals(docs, digest, tmp_path, monkeypatch):
+    """Two arrivals in one store give what one arrival of all rows gives; the second streams its own rows only."""
+    monkeypatch.setattr(exact_dedup, "PART", 2)
+    old, store = F.coalesce("doc_id", F.lit(0)) % 3 != 1, f"file://{tmp_path}/store"
+    first = exact_dedup.groups(docs.where(old), digest=digest, store=store)
+    assert first.count() == docs.where(old).count()
+    second = exact_dedup.groups(docs.where(~old), digest=digest, store=store).collect()
+    at_once = exact_dedup.groups(docs, digest=digest).collect()
+    assert Counter((r._id, r.keep_id, r.group_size, r._digest) for r in second) == Counter((r._id, r.keep_id, r.group_size, r._digest) for r in at_once)
+    assert sum(r.kept for r in second) == sum(r.kept for r in at_once) and {r._arrival for r in second} == {0, 1}
+    again = exact_dedup.groups(docs.where("doc_id = 7"), digest=digest, store=store).where("_id = 7").collect()
+    assert sorted((r._arrival, r.kept) for r in again)[-1] == (2, True) and sum(r.kept for r in again) == 1
+
+
 def brute_repeats(length):
     data = [t.encode() for t in TEXTS]
     count = Counter(d[p : p + length] for d in data for p in range(len(d) - length + 1))
@@ -266,7 +281,7 @@ def test_mixing(docs, empty):
     assert Counter(r.doc_id for r in rows) == ids() and all(r.copies >= 1 for r in rows)
     size, read, weight = Counter(), Counter(), {}
     for r in rows:
-        assert r.tokens >= 0 and 0 <= r.mix_position < 1
+        assert r.tokens >= 0 and 0 <= r.mix_position <= 1
         size[r.source] += r.tokens
         read[r.source] += r.tokens * r.copies
         weight[r.source] = r.weight
@@ -274,11 +289,23 @@ def test_mixing(docs, empty):
     for s in size:
         assert abs(read[s] / total - weight[s]) <= 2 * most / total
         assert read[s] <= 3 * size[s] + most
+        assert all(0 <= r.mix_position + (r.copies - 1) * r.mix_step <= 1 + 1e-9 for r in rows)
     assert mixing.NO_SOURCE in size and sum(weight.values()) == pytest.approx(1, abs=1e-4)
-    shared = Counter()
-    for r in mixing.mixed(docs, 3.0).select("doc_id", "row").collect():
-        shared[r.doc_id] += 1
-    assert sum(shared.values()) >= len(ROWS) and set(shared) == set(ids())
+    out = mixing.mixed(docs, 3.0)
+    assert out.columns == docs.columns
+    order = [r.doc_id for r in out.collect()]
+    shared = Counter(order)
+    copies = Counter()
+    for r in rows:
+        copies[r.doc_id] += r.copies
+    assert shared == copies and order != sorted(order, key=lambda i: (i is not None, i))
+    place = {r.doc_id: [r.mix_position + c * r.mix_step for c in range(r.copies)] for r in rows if ids()[r.doc_id] == 1}
+    walked, at = [], Counter()
+    for i in order:
+        if i in place:
+            walked.append(place[i][at[i]])
+            at[i] += 1
+    assert walked == sorted(walked)
     assert mixing.plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
