@@ -7,12 +7,14 @@ sentinels ("" and -1) become NULL, or are dropped from arrays, at the edge.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.hashing import hash_bucket
+
 Transform = Callable[[Column], Column]
 
 
@@ -69,13 +71,37 @@ def round_identity(num_buckets: int, default: int = 0) -> Transform:
     return lambda x: F.when(x.isNotNull(), _in_range(F.rint(x.cast("double")), num_buckets, default))
 
 
-def index_lookup(vocabulary: Sequence[str]) -> Transform:
-    """The index in a short vocabulary; its length for a term that is not in it."""
+def index_lookup(vocabulary: Sequence[str], num_oov: int = 1) -> Transform:
+    """The index in a short vocabulary; beyond its end one of num_oov indices for terms that are not in it.
+
+    With several, fingerprint64 of the term modulo num_oov tells them apart.
+    """
     terms = list(vocabulary)
     if len(set(terms)) != len(terms):
         raise ValueError("the vocabulary repeats a term")
-    array = F.array(*[F.lit(t) for t in terms])
-    return lambda x: F.when(x.isNotNull(), F.coalesce(F.nullif(F.array_position(array, x), F.lit(0)) - 1, F.lit(len(terms)))).cast("bigint")
+    if num_oov < 1:
+        raise ValueError("num_oov must be positive")
+    array = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    other = hash_bucket(num_oov) if num_oov > 1 else lambda x: F.lit(0)
+    return lambda x: F.when(x.isNotNull(), F.coalesce(F.nullif(F.array_position(array, x), F.lit(0)) - 1, F.lit(len(terms)) + other(x))).cast("bigint")
+
+
+def lookup_in(df: DataFrame, column: str, vocabulary: DataFrame, name: str = "id", num_oov: int = 1) -> DataFrame:
+    """df with the index of a column in a vocabulary table (value, id from 0), of any size; others as in `index_lookup`."""
+    terms = vocabulary.select(F.col("value").alias("_value"), F.col("id").cast("bigint").alias("_id"))
+    size = vocabulary.agg(F.count(F.lit(1)).alias("_size"))
+    other = hash_bucket(num_oov)(F.col(column)) if num_oov > 1 else F.lit(0)
+    joined = df.join(terms, F.col(column) == F.col("_value"), "left").crossJoin(F.broadcast(size))  # one row
+    found = F.when(F.col(column).isNotNull(), F.coalesce("_id", F.col("_size") + other)).cast("bigint")
+    return joined.withColumn(name, found).drop("_value", "_id", "_size")
+
+
+def terms_of(spark: SparkSession, path: str) -> list[str]:
+    """A vocabulary file: one term a line, white space around it left out; a repeated term raises."""
+    terms = [r.value.strip() for r in spark.read.text(path, wholetext=False).collect()]
+    if len(set(terms)) != len(terms):
+        raise ValueError("the vocabulary repeats a term")
+    return terms
 
 
 def to_number(kind: str, default: float | int, lenient: bool = False) -> Transform:
@@ -126,6 +152,23 @@ def id_offsets(sizes: Sequence[int]) -> list[int]:
     return out
 
 
+def concatenated(parts: Mapping[str, tuple[Column, int]]) -> tuple[str, Column, int]:
+    """(name, ids, size) of id columns laid end to end: {name: (ids, how many ids)}.
+
+    Offsets follow the order given; the name joins the sorted names with _C_. No parts, a
+    size below 1 or a name that is no text raise.
+    """
+    if not parts:
+        raise ValueError("no columns to concatenate")
+    for name, (_, size) in parts.items():
+        if not isinstance(name, str) or isinstance(size, bool) or not isinstance(size, int):
+            raise TypeError(f"a name and a whole number of ids are needed: {name!r}, {size!r}")
+        if size < 1:
+            raise ValueError(f"{name} has no ids")
+    sizes = [size for _, size in parts.values()]
+    return "_C_".join(sorted(parts)), concat_with_offsets([ids for ids, _ in parts.values()], id_offsets(sizes)), sum(sizes)
+
+
 def cross(columns: Sequence[Column], sep: str = "_X_") -> Column:
     """Array of the joined values of the Cartesian product of array columns."""
 

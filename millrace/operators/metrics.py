@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.sharding import running_sums
+
 
 def accuracy(prediction: Column, label: Column, threshold: float = 0.5) -> Column:
     return F.avg(((prediction > threshold).cast("int") == label.cast("int")).cast("double"))
@@ -40,6 +42,11 @@ def evaluate(df: DataFrame, metrics: Mapping[str, Column], by: list[str] | None
     return df.groupBy(*(by or [])).agg(*[m.alias(name) for name, m in metrics.items()])
 
 
+def nested(df: DataFrame, metrics: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """One row, a struct of metrics for each output: {output: {metric: column}}."""
+    return df.agg(*[F.struct(*[m.alias(n) for n, m in each.items()]).alias(output) for output, each in metrics.items()])
+
+
 def auc(df: DataFrame, prediction: str, label: str, thresholds: int = 200) -> DataFrame:
     """One row, auc: the area by trapezoids over `thresholds` evenly spaced thresholds of predictions in 0..1.
 
@@ -54,10 +61,10 @@ def auc(df: DataFrame, prediction: str, label: str, thresholds: int = 200) -> Da
 
 
 def exact_auc(df: DataFrame, prediction: str, label: str) -> DataFrame:
-    """One row, auc, by ranks: the counts of distinct predictions are brought in order."""
+    """One row, auc, by ranks: the counts of distinct predictions are brought in order by ranges."""
     counts = df.groupBy(F.col(prediction).alias("x")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1 - F.col(label).cast("double")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return counts.select("p", "n", below.alias("b")).agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    placed = running_sums(counts, ["x"], {"b": "n"})
+    return placed.agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def due(versions: Column, steps: int, last: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +96,24 @@ def accepted(gradients: DataFrame, current: int, tolerance: int = 0) -> DataFram
     return gradients.where(F.col("version") >= current - tolerance)
 
 
+def newer(table: DataFrame, than: int, inclusive: bool = False) -> DataFrame:
+    """The rows of a versioned table that a reader who has version `than` still needs."""
+    return table.where(F.col("version") >= than if inclusive else F.col("version") > than)
+
+
+def gradient_fault(widths: Mapping[str, int]) -> Column:
+    """What is wrong with a gradient (name, vec): an unknown name, no vector or one of another width; NULL if nothing."""
+    known = F.create_map(*[F.lit(x) for item in widths.items() for x in item])
+    width = F.try_element_at(known, F.col("name"))
+    return F.when(width.isNull(), "name").when(F.col("vec").isNull() | (F.size("vec") != width), "width")
+
+
+def checked(gradients: DataFrame, widths: Mapping[str, int]) -> DataFrame:
+    """The gradients, failing at run time on one that is wrong."""
+    fault = gradient_fault(widths)
+    return gradients.where(F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("a gradient is wrong in its "), fault)).isNull()).otherwise(True))
+
+
 def accumulate(gradients: DataFrame, dim: int, waited: int) -> tuple[DataFrame, DataFrame]:
     """(dense, sparse): dense gradients (name, vec) are averaged over `waited` reports, sparse (name, id, vec) summed."""
     sums = [F.sum(F.col("vec")[k]).alias(f"_s{k}") for k in range(dim)]

@@ -5,6 +5,9 @@ A vector table has the columns id (bigint) and vec (array of float or double).
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +70,28 @@ def combine(rows: DataFrame, table: DataFrame, dim: int, how: str = "mean", ids:
     return out.select(key, F.coalesce("vec", zeros(dim)).alias("vec"))
 
 
+def mask(ids: Column) -> Column:
+    """For each id whether it counts: 0 is padding."""
+    return F.transform(ids, lambda i: i != 0)
+
+
+def pooled(rows: DataFrame, tables: Mapping[str, DataFrame], dim: int, how: str = "sum", key: str = "key") -> DataFrame:
+    """key and a vector for each group: {name of an id array column of rows: its table}. All groups in one join."""
+
+    def tagged(group: str) -> Column:
+        return F.transform(F.coalesce(F.col(group).cast("array<bigint>"), F.array().cast("array<bigint>")), lambda i: F.struct(F.lit(group).alias("group"), i.alias("id")))
+
+    each = [tagged(g) for g in tables]
+    pairs = rows.select(key, F.explode(F.concat(*each)).alias("p")).select(key, "p.group", "p.id").where("id >= 0")
+    whole = [t.select(F.lit(g).alias("group"), "id", "vec") for g, t in tables.items()]
+    joined = pairs.join(reduce(DataFrame.unionByName, whole), ["group", "id"])
+    sums = joined.groupBy(key, "group").agg(*sum_vectors("vec", dim), F.count(F.lit(1)).alias("_n"))
+    scale = {"sum": F.lit(1.0), "mean": F.col("_n"), "sqrtn": F.sqrt("_n")}[how]
+    made = sums.select(key, "group", F.array(*[F.col(f"_s{k}") / scale for k in range(dim)]).alias("vec"))
+    wide = made.groupBy(key).agg(*[F.first(F.when(F.col("group") == g, F.col("vec")), ignorenulls=True).alias(g) for g in tables])
+    return rows.select(key).join(wide, key, "left").select(key, *[F.coalesce(g, zeros(dim)).alias(g) for g in tables])
+
+
 def check_ids(rows: DataFrame, dim: int, ids: str = "ids") -> DataFrame:
     """rows, failing at run time on an id of dim or more."""
     bad = F.exists(ids, lambda i: i >= dim)

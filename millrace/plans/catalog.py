@@ -6,15 +6,16 @@ Arrays are exploded to rows and floats rounded, so that results compare by value
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing, key_values, transforms
-from millrace.operators import metrics, sharding, statistics, updates, vectors
+from millrace.operators import metrics, scoring, sharding, statistics, updates, vectors
 from millrace.plans.features import FeaturePlan, Step
 from millrace.sources import readers
-from millrace.workspace import prepare, table
+from millrace.workspace import new_path, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -22,7 +23,7 @@ _SQL: dict[str, str] = {}
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE")
 PRICE_BORDERS = (1000.0, 20000.0, 50000.0, 100000.0, 250000.0)
-DIM = 8
+DIM = 64
 
 
 def query(sql: str | None = None):
@@ -75,8 +76,9 @@ SELECT k::INTEGER AS k, round(x, 6) AS boundary FROM (
   SELECT unnest(range(1, 10)) AS k, unnest(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS x FROM lineitem)
 """)
 def stats_percentiles(t):
-    found = t("lineitem").agg(statistics.percentiles("l_extendedprice", 10).alias("b"))
-    return found.select(F.posexplode("b").alias("i", "x")).select((F.col("i") + 1).alias("k"), _r(F.col("x")).alias("boundary"))
+    df = t("lineitem")
+    found = list(enumerate(statistics.percentiles(df, "l_extendedprice", 10), 1))
+    return df.sparkSession.createDataFrame(found, "k int, x double").select("k", _r(F.col("x")).alias("boundary"))
 
 
 @query("SELECT p_brand AS value, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand HAVING count(*) >= 40")
@@ -190,11 +192,82 @@ def int_partition(t):
     return t("lineitem").select(hashing.int_partition(F.col("l_partkey") - 500, 16).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _fingerprint_sql(x: str) -> str:
+    """The public fingerprint of ASCII texts of 4 to 64 characters in SQL, modulo 2**64 in 128-bit numbers."""
+    m = "18446744073709551616::UHUGEINT"
+    k1, k2 = (f"{k}::UBIGINT" for k in (hashing.K1, hashing.K2))
+    word = lambda at, size=8: f"('0x' || array_to_string(list_transform(range({size}, 0, -1), lambda q: substr(h, 2 * ({at} + q) - 1, 2)), ''))::UBIGINT"
+    mul = lambda a, b: f"((({a})::UHUGEINT * ({b})::UHUGEINT) % {m})::UBIGINT"
+    add = lambda *v: f"(({' + '.join(f'({x})::UHUGEINT' for x in v)}) % {m})::UBIGINT"
+    rot = lambda v, s: f"(({v}) // {1 << s}::UBIGINT + ({v}) % {1 << s}::UBIGINT * {1 << (64 - s)}::UBIGINT)"
+    shift = lambda v: f"xor({v}, ({v}) // {1 << 47}::UBIGINT)"
+    len16 = lambda u, v, by: f"(SELECT {mul(shift('b'), by)} FROM (SELECT {mul('xor(' + v + ', a)', by)} AS b FROM (SELECT {shift('a')} AS a FROM (SELECT {mul(f'xor({u}, {v})', by)} AS a))))"
+    return f"""
+h AS (SELECT *, hex(encode({x})) AS h, length({x}) AS n FROM src),
+w AS (SELECT *, {add(k2, "2 * n")} AS m FROM h),
+c AS (
+  SELECT *, 0 AS way, {add("n", f"8 * {word(0, 4)}")} AS a, {word("n - 4", 4)} AS b, 0::UBIGINT AS c, 0::UBIGINT AS d FROM w WHERE n BETWEEN 4 AND 7
+  UNION ALL SELECT *, 1, {add(word(0), k2)}, {word("n - 8")}, 0, 0 FROM w WHERE n BETWEEN 8 AND 16
+  UNION ALL SELECT *, 2, {mul(word(0), k1)}, {word(8)}, {mul(word("n - 8"), "m")}, {mul(word("n - 16"), k2)} FROM w WHERE n BETWEEN 17 AND 32
+  UNION ALL SELECT *, 3, {mul(word(0), k2)}, {word(8)}, {mul(word("n - 8"), "m")}, {mul(word("n - 16"), k2)} FROM w WHERE n BETWEEN 33 AND 64),
+y AS (
+  SELECT *, CASE way WHEN 0 THEN a WHEN 1 THEN {add(mul(rot("b", 37), "m"), "a")} WHEN 2 THEN {add(rot(add("a", "b"), 43), rot("c", 30), "d")} ELSE {add(rot(add("a", "b"), 43), rot("c", 30), "d")} END AS u,
+    CASE way WHEN 0 THEN b WHEN 1 THEN {mul(add(rot("a", 25), "b"), "m")} ELSE {add("a", rot(add("b", k2), 18), "c")} END AS v FROM c),
+z AS (SELECT *, {len16("u", "v", "m")} AS f FROM y),
+l AS (
+  SELECT *, {mul(word(16), "m")} AS e, {word(24)} AS g, {mul(add("u", word("n - 32")), "m")} AS p, {mul(add("f", word("n - 24")), "m")} AS q FROM z WHERE way = 3),
+r AS (SELECT *, {add(rot(add("e", "g"), 43), rot("p", 30), "q")} AS ru, {add("e", rot(add("g", "a"), 18), "p")} AS rv FROM l),
+fingerprint AS (SELECT * EXCLUDE (h, m, way, a, b, c, d, u, v, f), f FROM z WHERE way < 3 UNION ALL SELECT * EXCLUDE (h, m, way, a, b, c, d, u, v, f, e, g, p, q, ru, rv), {len16("ru", "rv", "m")} FROM r)"""
+
+
+@query(f"WITH src AS (SELECT c_custkey, c_name FROM customer), {_fingerprint_sql('c_name')} SELECT c_custkey, (f % 100)::BIGINT AS bucket FROM fingerprint")
 def hash_bucket_exact(t):
     return t("customer").select("c_custkey", hashing.hash_bucket(100)(F.col("c_name")).alias("bucket"))
 
 
+@query(f"WITH src AS (SELECT p_partkey, k, left(p_type || ' ' || p_name || ' ' || p_brand || p_type || p_name || p_type, (4 + 3 * k + p_partkey % 3)::BIGINT) AS s FROM part, range(0, 20) r(k)), {_fingerprint_sql('s')} SELECT p_partkey, k::INTEGER AS k, (f % 1000003)::BIGINT AS bucket FROM fingerprint")
+def hash_lengths(t):
+    """The fingerprint of texts of 4 to 64 characters."""
+    text = F.concat("p_type", F.lit(" "), "p_name", F.lit(" "), "p_brand", "p_type", "p_name", "p_type")
+    each = t("part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), text.alias("s"))
+    cut = each.select("p_partkey", "k", F.substring("s", F.lit(1), (4 + 3 * F.col("k") + F.col("p_partkey") % 3).cast("int")).alias("s")).where(F.length("s").between(4, 64))
+    return cut.select("p_partkey", "k", hashing.hash_bucket(1_000_003)(F.col("s")).alias("bucket"))
+
+
+@query(f"WITH src AS (SELECT c_custkey, c_mktsegment FROM customer), {_fingerprint_sql('c_mktsegment')} SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 + (f % 5)::BIGINT END AS id FROM fingerprint")
+def index_lookup_oov(t):
+    return t("customer").select("c_custkey", transforms.index_lookup(SEGMENTS[:2], 5)(F.col("c_mktsegment")).alias("id"))
+
+
+@query(f"""WITH v AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS id FROM part GROUP BY p_type HAVING count(*) >= 14), k AS (SELECT count(*) AS size FROM v),
+src AS (SELECT p_partkey, p_type FROM part), {_fingerprint_sql('p_type')} SELECT p_partkey, coalesce(v.id, size + (f % 7)::BIGINT)::BIGINT AS id FROM fingerprint LEFT JOIN v USING (p_type), k""")
+def lookup_table_oov(t):
+    part = t("part")
+    words = sharding.row_numbers(statistics.vocabulary(part, "p_type", 14).withColumn("minus", -F.col("n")), ["minus", "value"], "id")
+    return transforms.lookup_in(part, "p_type", words, "id", 7).select("p_partkey", "id")
+
+
+@query("SELECT p_partkey, 'p_brand_C_p_size' AS name, pos::BIGINT AS pos, id::BIGINT AS id FROM (SELECT p_partkey, unnest(range(0, 2)) AS pos, unnest([p_size, 60 + p_partkey % 10]) AS id FROM part)")
+def concat_named(t):
+    name, ids, size = transforms.concatenated({"p_size": (F.array("p_size"), 60), "p_brand": (F.array(F.col("p_partkey") % 10), 10)})
+    found = t("part").select("p_partkey", F.posexplode(ids).alias("pos", "id"))
+    return found.where(F.col("id") < size).select("p_partkey", F.lit(name).alias("name"), F.col("pos").cast("bigint").alias("pos"), "id")
+
+
+@query(f"WITH src AS (SELECT c_custkey, c_mktsegment FROM customer), {_fingerprint_sql('c_mktsegment')} SELECT c_custkey, 'embedded_hash' AS step, (f % (3 * (SELECT count(DISTINCT c_mktsegment) FROM customer)))::BIGINT AS id FROM fingerprint")
+def embedding_expand(t):
+    """Embedding a text column puts a hash step before it, whose bins come from the distinct values."""
+    df = t("customer")
+    plan = FeaturePlan([Step("embedded", "embed", ["c_mktsegment"], {"dim": 8})]).fit(df)
+    return plan.apply(df, ["embedded"], ["c_custkey"]).select("c_custkey", F.lit(plan.order()[0].name).alias("step"), F.col("embedded").alias("id"))
+
+
+@query("SELECT unnest(['a', 'both', 'b']) AS name, unnest([0, 2, 1]) AS place")
+def step_order(t):
+    plan, gone = FeaturePlan([Step("both", "group", ["a", "b", "c"]), Step("a", "round_identity", ["p_size"], {"bins": 9}), Step("b", "log_round", ["p_size"], {"bins": 9}), Step("c", "lookup", ["not_there"])]).known(t("part").columns)
+    return t("part").sparkSession.createDataFrame([(s.name, i) for i, s in enumerate(plan.order())], "name string, place int")
+
+
 @query("SELECT p_partkey, i::BIGINT AS i, (CASE WHEN p_size % 5 = i THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = i THEN 1 ELSE 0 END)::DOUBLE AS n FROM part, range(0, 5) r(i)")
 def multi_hot(t):
     hot = transforms.multi_hot(F.array((F.col("p_size") % 5).cast("bigint"), F.col("p_partkey") % 5), 5)
@@ -207,6 +280,16 @@ def kv_flatten(t):
     return key_values.flatten(t("orders").select("o_orderkey", kv.alias("kv")), "kv", ["status", "priority", "missing"], append=["o_orderkey"])
 
 
+@query("SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
+def kv_table_function(t):
+    """The table-valued form, joined laterally."""
+    kv = F.concat(F.lit("status:x,priority:"), "o_orderpriority", F.lit(", status:"), "o_orderstatus")
+    df = t("orders").select("o_orderkey", kv.alias("kv"))
+    df.sparkSession.udtf.register("key_values", key_values.KeyValues)
+    df.createOrReplaceTempView("kv_orders")
+    return df.sparkSession.sql("SELECT o_orderkey, status, priority FROM kv_orders, LATERAL key_values(kv, 'status,priority', ',', ':')")
+
+
 @query("SELECT unnest(['price', 'status']) AS name")
 def kv_infer(t):
     df = t("orders").select("o_orderkey", F.concat(F.lit("status:"), "o_orderstatus", F.lit(",price:"), F.col("o_totalprice").cast("string")).alias("kv"))
@@ -237,20 +320,111 @@ def epoch_expand(t):
     return sharding.epochs(sharding.cut(size, 500), 3).groupBy("epoch").agg(F.count(F.lit(1)).alias("tasks"), F.sum(F.col("end") - F.col("start")).alias("records"))
 
 
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 20 = 0 AS evaluation FROM orders")
+_ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate::DATE::VARCHAR AS o_orderdate, o_orderpriority"
+
+
+def _orders(t) -> DataFrame:
+    return t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate"), "o_orderpriority")
+
+
+@query(f"SELECT {_ORDERS}, (row_number() OVER (ORDER BY o_orderkey) - 1) % 20 = 0 AS evaluation FROM orders")
 def train_eval_split(t):
-    return sharding.systematic_split(t("orders").select("o_orderkey"), ["o_orderkey"])
+    return sharding.systematic_split(_orders(t), ["o_orderkey"])
 
 
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) < floor(count(*) OVER () * 0.75) AS training FROM orders")
+@query(f"SELECT {_ORDERS}, (row_number() OVER (ORDER BY o_orderkey) - 1) < floor(count(*) OVER () * 0.75) AS training FROM orders")
 def ordered_split(t):
-    return readers.ordered_split(t("orders").select("o_orderkey"), ["o_orderkey"])
+    return readers.ordered_split(_orders(t), ["o_orderkey"])
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey FROM orders QUALIFY row >= 1000 AND row < 1100")
+@query(f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, {_ORDERS} FROM orders QUALIFY row >= 1000 AND row < 1100")
 def row_range(t):
-    df = readers.row_range(t("orders").select("o_orderkey"), ["o_orderkey"], 1000, 1100)
-    return sharding.row_numbers(df, ["o_orderkey"]).select((F.col("row") + 1000).alias("row"), "o_orderkey")
+    df = readers.row_range(_orders(t), ["o_orderkey"], 1000, 1100)
+    return sharding.row_numbers(df, ["o_orderkey"]).select((F.col("row") + 1000).alias("row"), *df.columns)
+
+
+@query("SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) AS row FROM lineitem WHERE l_linenumber > 1 QUALIFY row_number() OVER (ORDER BY l_orderkey, l_linenumber) <= floor(count(*) OVER () * 0.3)")
+def first_share(t):
+    df = t("lineitem").where("l_linenumber > 1")
+    return sharding.row_numbers(readers.first_share(df, ["l_orderkey", "l_linenumber"], 0.3), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "row")
+
+
+@query("""
+WITH t AS (SELECT doc_id, string_split(text, ' ')[1:6] AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM t),
+f AS (SELECT term, row_number() OVER (ORDER BY min(struct_pack(d := doc_id, p := pos))) AS id FROM e GROUP BY term)
+SELECT doc_id, pos::BIGINT AS pos, coalesce(f.id, 0)::BIGINT AS id FROM (SELECT t.doc_id, p AS pos, w[len(w) - 8 + p + 1] AS term, len(w) - 8 + p + 1 AS at FROM t, range(0, 8) r(p)) x LEFT JOIN f ON f.term = x.term AND x.at > 0
+""")
+def libfm_ids(t):
+    """Ids by first appearance over the first six terms of each text, left-padded to eight."""
+    df = t("documents").where("text IS NOT NULL").select("doc_id", F.lit(1).alias("label"), F.slice(F.split("text", " "), 1, 6).alias("features"))
+    ids = readers.encode_libfm(df, "doc_id", 8)
+    return ids.select("doc_id", F.posexplode("ids").alias("pos", "id")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "id")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey = 7")
+def csv_round_trip(t):
+    """Written as CSV, partitioned by a column, and read with a schema and a filter on the partition."""
+    df = t("customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    path = new_path(df.sparkSession, "csv")
+    df.write.partitionBy("c_nationkey").csv(path)
+    found = readers.open_source(df.sparkSession, path, "csv", schema="c_custkey bigint, c_name string, c_acctbal double, c_nationkey int")
+    return found.where("c_nationkey = 7").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, (o_orderkey % 4)::BIGINT AS worker FROM orders")
+def sink_round_trip(t):
+    """Written in files of 1,000 records and partitions worker=<i>, and read back."""
+    df = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    path = new_path(df.sparkSession, "shards")
+    df.withColumn("worker", F.col("o_orderkey") % 4).write.option("maxRecordsPerFile", 1000).partitionBy("worker").parquet(path)
+    return readers.open_source(df.sparkSession, path).select("o_orderkey", "o_custkey", "o_totalprice", F.col("worker").cast("bigint").alias("worker"))
+
+
+@query("SELECT o_orderkey, round(o_custkey::FLOAT::DOUBLE + o_totalprice::FLOAT::DOUBLE, 2) AS total, o_orderstatus AS label FROM orders")
+def features_label(t):
+    df = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", F.struct("o_orderkey", "o_orderstatus").alias("y"))
+    made = readers.features_and_label(df, ["o_custkey", "o_totalprice"], "y")
+    return made.select("label.o_orderkey", _r(F.col("features")[0].cast("double") + F.col("features")[1].cast("double"), 2).alias("total"), F.col("label.o_orderstatus").alias("label"))
+
+
+@query("SELECT o_orderkey % 2 AS label, coalesce(o_custkey, 0) AS i1, coalesce(nullif(o_orderkey % 7, 0), 0) AS i2, coalesce(o_orderstatus, '') AS c1, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS c2 FROM orders")
+def click_log(t):
+    """A tab-separated log with blanks, written and read."""
+    df = t("orders")
+    blank = lambda c, m: F.when(F.col("o_orderkey") % m == 0, F.lit("")).otherwise(c.cast("string"))
+    path = new_path(df.sparkSession, "clicks")
+    df.select(F.concat_ws("\t", F.col("o_orderkey") % 2, "o_custkey", blank(F.col("o_orderkey") % 7, 7), "o_orderstatus", blank(F.col("o_orderpriority"), 3)).alias("value")).write.text(path)
+    found = readers.open_source(df.sparkSession, path, "click_log", integers=2, texts=2)
+    return found.select("label", F.col("I1").alias("i1"), F.col("I2").alias("i2"), F.col("C1").alias("c1"), F.col("C2").alias("c2"))
+
+
+@query(f"SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) + 0.0 AS total, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 4) + 0.0 AS weighted FROM embeddings")
+def image_flatten(t):
+    """Vectors as images of eight rows and eight columns, flattened."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    flat = readers.flatten_images(t("embeddings").select(F.col("vec_id").alias("id"), rows.alias("image")), "image")
+    return _sums(flat.select("id", F.col("image").cast("array<double>").alias("vec")), "id")
+
+
+@query("SELECT i AS part, i * 10 + j AS a, (i * 10 + j) / 4.0::DOUBLE AS b, 'n' || (i * 10 + j) AS c FROM range(0, 5) r(i), range(0, 10) s(j)")
+def generated_rows(t):
+    make = lambda part: ((part, part * 10 + j, (part * 10 + j) / 4.0, f"n{part * 10 + j}") for j in range(10))
+    return readers.tuples(t("region").sparkSession, make, 5, "part bigint, a bigint, b double, c string")
+
+
+@query("SELECT i * 500 AS start, least((i + 1) * 500, 10000) AS \"end\", i * 5 AS steps_before FROM range(0, 20) r(i) WHERE i * 5 <= 42")
+def tasks_until_step(t):
+    """The tasks of 10,000 records in batches of 100, five a task, before step 42 is complete."""
+    tasks = sharding.until_step(sharding.manifest(10_000, 100, 5, t("region").sparkSession), 100, 42, ["start"])
+    return tasks.select("start", "end", F.floor(F.col("start") / 100).alias("steps_before"))
+
+
+@query("SELECT e::INTEGER AS epoch, o_orderkey, true AS once FROM orders, range(0, 2) r(e)")
+def shuffled_epochs(t):
+    """All records in each epoch, each at one place."""
+    each = sharding.shuffled(t("orders").select("o_orderkey"), 2, 5, ["o_orderkey"])
+    places = each.groupBy("epoch", "o_orderkey").agg(F.count_distinct("place").alias("n"))
+    return places.select("epoch", "o_orderkey", (F.col("n") == 1).alias("once"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 END AS code FROM events")
@@ -259,7 +433,7 @@ def label_codes(t):
 
 
 def _table(t) -> DataFrame:
-    return t("embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, DIM).cast("array<double>").alias("vec"))
+    return t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def _bags(t) -> DataFrame:
@@ -268,67 +442,111 @@ def _bags(t) -> DataFrame:
     return bags.select("key", F.transform("a", lambda s: s["id"]).alias("ids"), F.transform("a", lambda s: s["w"] + 0.5).alias("ws"))
 
 
-def _long(df: DataFrame, key: str, digits: int = 6, vec: str = "vec") -> DataFrame:
-    return df.select(key, F.posexplode(vec).alias("d", "x")).select(key, F.col("d").cast("bigint").alias("d"), (_r(F.col("x"), digits) + F.lit(0.0)).alias("x"))
+def _sums(df: DataFrame, key: str, digits: int = 4, vec: str = "vec") -> DataFrame:
+    """Two numbers into which every position of a vector goes: the sum, and the sum weighted by the position from 1."""
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    weighted = F.transform(vec, lambda x, i: x * (i + 1))
+    return df.select(key, (_r(add(F.col(vec)), digits) + F.lit(0.0)).alias("total"), (_r(add(weighted), digits) + F.lit(0.0)).alias("weighted"))
 
 
 _EACH = "each AS (SELECT l_orderkey AS key, l_linenumber AS ln, l_partkey % 600 - 20 AS id, l_discount + 0.5 AS w FROM lineitem)"
-_DIMS = "e AS (SELECT vec_id AS id, unnest(range(0, 8)) AS d, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings)"
-_COMBINED = """WITH {each}, {dims}, s AS (SELECT key, d, {expr} AS x FROM each JOIN e USING (id) WHERE id >= 0 GROUP BY key, d)
-SELECT k.key, d::BIGINT AS d, round(coalesce(s.x, 0), 6) + 0.0 AS x FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem) k CROSS JOIN range(0, 8) r(d) LEFT JOIN s USING (key, d)"""
+_DIMS = f"e AS (SELECT vec_id AS id, unnest(range(0, {DIM})) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+_BOTH = "round(sum(x), {0}) + 0.0 AS total, round(sum((d + 1) * x), {0}) + 0.0 AS weighted"
 
 
 def _combined_sql(expr: str) -> str:
-    return _COMBINED.format(each=_EACH, dims=_DIMS, expr=expr)
+    return f"""WITH {_EACH}, {_DIMS}, s AS (SELECT key, d, {expr} AS x FROM each JOIN e USING (id) WHERE id >= 0 GROUP BY key, d)
+SELECT k.key, coalesce(round(sum(x), 4), 0) + 0.0 AS total, coalesce(round(sum((d + 1) * x), 4), 0) + 0.0 AS weighted FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem) k LEFT JOIN s USING (key) GROUP BY k.key"""
 
 
 @query(_combined_sql("sum(x)"))
 def embed_combine_sum(t):
-    return _long(vectors.combine(_bags(t), _table(t), DIM, "sum"), "key")
+    return _sums(vectors.combine(_bags(t), _table(t), DIM, "sum"), "key")
 
 
 @query(_combined_sql("sum(x) / count(*)"))
 def embed_combine_mean(t):
-    return _long(vectors.combine(_bags(t), _table(t), DIM, "mean"), "key")
+    return _sums(vectors.combine(_bags(t), _table(t), DIM, "mean"), "key")
 
 
 @query(_combined_sql("sum(x) / sqrt(count(*))"))
 def embed_combine_sqrtn(t):
-    return _long(vectors.combine(_bags(t), _table(t), DIM, "sqrtn"), "key")
+    return _sums(vectors.combine(_bags(t), _table(t), DIM, "sqrtn"), "key")
 
 
 @query(_combined_sql("sum(w * x) / sqrt(sum(w * w))"))
 def embed_weighted(t):
-    return _long(vectors.combine(_bags(t), _table(t), DIM, "sqrtn", weights="ws"), "key")
+    return _sums(vectors.combine(_bags(t), _table(t), DIM, "sqrtn", weights="ws"), "key")
+
 
+@query(_combined_sql("sum(x) FILTER (id > 0) / nullif(count(*) FILTER (id > 0), 0)"))
+def embed_zero_missing(t):
+    return _sums(vectors.combine(_bags(t), _table(t), DIM, "mean", zero_is_missing=True), "key")
 
-@query(f"""WITH {_EACH}, {_DIMS}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ln, id, w) - 1 AS pos FROM each)
-SELECT key, pos::BIGINT AS pos, round(coalesce(e.x, 0), 6) + 0.0 AS x FROM o LEFT JOIN e ON o.id = e.id AND e.d = 0""")
+
+@query(f"""WITH {_EACH}, {_DIMS}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ln, id, w) - 1 AS pos FROM each),
+s AS (SELECT id, {_BOTH.format(4)} FROM e GROUP BY id)
+SELECT key, pos::BIGINT AS pos, coalesce(total, 0) AS total, coalesce(weighted, 0) AS weighted FROM o LEFT JOIN s USING (id)""")
 def embed_lookup(t):
     found = vectors.lookup(_bags(t), _table(t), DIM)
-    return found.select("key", F.posexplode("vecs").alias("pos", "v")).select("key", F.col("pos").cast("bigint").alias("pos"), (_r(F.col("v")[0]) + F.lit(0.0)).alias("x"))
+    each = found.select("key", F.posexplode("vecs").alias("pos", "vec")).select(F.struct("key", F.col("pos").cast("bigint").alias("pos")).alias("at"), "vec")
+    return _sums(each, "at").select("at.*", "total", "weighted")
+
+
+@query(f"WITH {_EACH} SELECT key, count(*) AS n, count(*) FILTER (id <> 0) AS n_masked FROM each GROUP BY key")
+def embed_mask(t):
+    return _bags(t).select("key", F.size("ids").cast("bigint").alias("n"), F.size(F.filter(vectors.mask(F.col("ids")), lambda m: m)).cast("bigint").alias("n_masked"))
+
 
+@query(f"""WITH {_DIMS}, b AS (SELECT l_orderkey AS key, l_partkey % 400 AS a, l_suppkey % 300 AS b FROM lineitem),
+s AS (SELECT id, sum(x) AS x, sum((d + 1) * x) AS w FROM e GROUP BY id)
+SELECT key, coalesce(round(sum(sa.x), 4), 0) + 0.0 AS total_a, coalesce(round(sum(sa.w), 4), 0) + 0.0 AS weighted_a, coalesce(round(sum(sb.x), 4), 0) + 0.0 AS total_b, coalesce(round(sum(sb.w), 4), 0) + 0.0 AS weighted_b
+FROM b LEFT JOIN s sa ON sa.id = a LEFT JOIN s sb ON sb.id = b GROUP BY key""")
+def embed_pooled(t):
+    rows = t("lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_list(F.col("l_partkey") % 400).alias("a"), F.collect_list(F.col("l_suppkey") % 300).alias("b"))
+    found = vectors.pooled(rows, {"a": _table(t), "b": _table(t)}, DIM)
+    one, two = (_sums(found, "key", vec=g).withColumnsRenamed({"total": f"total_{g}", "weighted": f"weighted_{g}"}) for g in "ab")
+    return one.join(two, "key")
 
-@query(f"WITH {_EACH}, {_DIMS}, s AS (SELECT key, d, sum(x) AS a, sum(x * x) AS b FROM each JOIN e USING (id) WHERE id > 0 GROUP BY key, d) SELECT key, round(sum(a * a - b) / 2, 6) + 0.0 AS value FROM s GROUP BY key")
+
+@query(f"WITH {_EACH}, {_DIMS}, s AS (SELECT key, d, sum(x) AS a, sum(x * x) AS b FROM each JOIN e USING (id) WHERE id > 0 GROUP BY key, d) SELECT key, round(sum(a * a - b) / 2, 4) + 0.0 AS value FROM s GROUP BY key")
 def fm_second_order(t):
-    return vectors.fm_second_order(_bags(t), _table(t), DIM).select("key", (_r(F.col("value")) + F.lit(0.0)).alias("value"))
+    return vectors.fm_second_order(_bags(t), _table(t), DIM).select("key", (_r(F.col("value"), 4) + F.lit(0.0)).alias("value"))
 
 
-@query(f"WITH {_DIMS} SELECT id % 50 AS id, d::BIGINT AS d, round(2 * sum(x), 6) + 0.0 AS x FROM e GROUP BY 1, 2")
+@query(f"WITH {_DIMS}, s AS (SELECT id % 50 AS id, d, 2 * sum(x) AS x FROM e GROUP BY 1, 2) SELECT id, {_BOTH.format(4)} FROM s GROUP BY id")
 def slices_merge_dedup(t):
     slices = _table(t).select((F.col("id") % 50).alias("id"), "vec")
-    return _long(vectors.deduplicate(vectors.merge(slices, slices), DIM), "id")
+    return _sums(vectors.deduplicate(vectors.merge(slices, slices), DIM), "id")
 
 
-@query(f"WITH {_DIMS}, n AS (SELECT id + 250 AS id, d, x + 1 AS x FROM e) SELECT id, d::BIGINT AS d, round(coalesce(n.x, e.x), 6) + 0.0 AS x FROM e FULL JOIN n USING (id, d)")
+@query(f"WITH {_DIMS}, n AS (SELECT id + 250 AS id, d, x + 1 AS x FROM e), s AS (SELECT id, d, coalesce(n.x, e.x) AS x FROM e FULL JOIN n USING (id, d)) SELECT id, {_BOTH.format(4)} FROM s GROUP BY id")
 def upsert(t):
     changes = _table(t).select((F.col("id") + 250).alias("id"), F.transform("vec", lambda x: x + 1).alias("vec"))
-    return _long(vectors.upsert(_table(t), changes), "id")
+    return _sums(vectors.upsert(_table(t), changes), "id")
 
 
-@query(f"WITH {_DIMS} SELECT i AS id, r2.d::BIGINT AS d, round(coalesce(x, 0), 6) + 0.0 AS x FROM range(0, 700) r(i) CROSS JOIN range(0, 8) r2(d) LEFT JOIN e ON e.id = i AND e.d = r2.d")
+@query(f"WITH {_DIMS}, s AS (SELECT id, {_BOTH.format(4)} FROM e GROUP BY id) SELECT i AS id, coalesce(total, 0) AS total, coalesce(weighted, 0) AS weighted FROM range(0, 700) r(i) LEFT JOIN s ON s.id = i")
 def dense_matrix(t):
-    return _long(vectors.dense(_table(t), 700, DIM), "id")
+    return _sums(vectors.dense(_table(t), 700, DIM), "id")
+
+
+@query(f"SELECT i AS id, (0.25 * {DIM})::DOUBLE AS total, (0.25 * {DIM * (DIM + 1) // 2})::DOUBLE AS weighted, true AS in_range, 'constant' AS kind FROM range(0, 100) r(i) UNION ALL SELECT i, 0, 0, true, k FROM range(0, 100) r(i), (SELECT unnest(['normal', 'truncated_normal', 'uniform', 'zero']) AS k)")
+def initial_vectors(t):
+    """What ids get that no table has: constants as they are, of random kinds whether all values are in their range."""
+    ids, out = t("embeddings").sparkSession.range(100), []
+    for kind, low, high in (("zero", 0, 0), ("constant", 0.25, 0.25), ("uniform", -0.05, 0.05), ("normal", -1.0, 1.0), ("truncated_normal", -0.1, 0.1)):
+        made = ids.select("id", vectors.initial(kind, DIM, value=0.25).alias("vec"))
+        inside = (F.array_min("vec") >= low) & (F.array_max("vec") <= high)
+        shown = F.when(F.lit(kind in ("zero", "constant")), F.col("vec")).otherwise(vectors.zeros(DIM))
+        out.append(_sums(made.select(F.struct("id", inside.alias("in_range"), F.lit(kind).alias("kind")).alias("at"), shown.alias("vec")), "at").select("at.*", "total", "weighted"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"WITH {_EACH} SELECT key, max(id) AS largest FROM each GROUP BY key HAVING max(id) < 600")
+def id_check(t):
+    checked = vectors.check_ids(_bags(t), 600)
+    return checked.select("key", F.array_max("ids").alias("largest"))
 
 
 @query("SELECT vec_id % 4 AS bucket, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY 1")
@@ -337,34 +555,56 @@ def scatter(t):
 
 
 def _gradients(t) -> DataFrame:
-    return _table(t).where("id % 3 = 0").select("id", F.transform("vec", lambda x: x * 0.5 + 0.25).alias("vec"))
+    """Gradients for the ids from 250 on: some ids of the table have none, and some gradients no row."""
+    return _table(t).select((F.col("id") + 250).alias("id"), F.transform("vec", lambda x: x * 0.5 + 0.25).alias("vec"))
 
 
 def _step_sql(expr: str) -> str:
-    return f"WITH {_DIMS} SELECT id, d::BIGINT AS d, round(CASE WHEN id % 3 = 0 THEN {expr} ELSE x END, 5) + 0.0 AS x FROM e"
-
-
-_G = "(x * 0.5 + 0.25)"
+    return f"""WITH {_DIMS}, g AS (SELECT id + 250 AS id, d, x * 0.5 + 0.25 AS g FROM e), s AS (SELECT id, d, CASE WHEN g IS NULL THEN x ELSE {expr} END AS x FROM e LEFT JOIN g USING (id, d))
+SELECT id, {_BOTH.format(3)} FROM s GROUP BY id"""
 
 
-@query(_step_sql(f"x - 0.1 * {_G}"))
+@query(_step_sql("x - 0.1 * g"))
 def sgd(t):
-    return _long(updates.step(_table(t), _gradients(t), updates.Optimizer("sgd", 0.1), DIM), "id", 5)
+    return _sums(updates.step(_table(t), _gradients(t), updates.Optimizer("sgd", 0.1), DIM), "id", 3)
 
 
-@query(_step_sql(f"x - 0.1 * ({_G} + 0.9 * {_G})"))
+@query(_step_sql("x - 0.1 * (g + 0.9 * g)"))
 def momentum(t):
-    return _long(updates.step(_table(t), _gradients(t), updates.Optimizer("momentum", 0.1, nesterov=True), DIM), "id", 5)
+    return _sums(updates.step(_table(t), _gradients(t), updates.Optimizer("momentum", 0.1, nesterov=True), DIM), "id", 3)
 
 
-@query(_step_sql(f"x - 0.1 * sqrt(1 - 0.999) / (1 - 0.9) * (0.1 * {_G}) / (sqrt(0.001 * {_G} * {_G}) + 1e-8)"))
+@query(_step_sql("x - 0.1 * sqrt(1 - 0.999) / (1 - 0.9) * (0.1 * g) / (sqrt(0.001 * g * g) + 1e-8)"))
 def adam(t):
-    return _long(updates.step(_table(t), _gradients(t), updates.Optimizer("adam", 0.1, amsgrad=True), DIM), "id", 5)
+    return _sums(updates.step(_table(t), _gradients(t), updates.Optimizer("adam", 0.1, amsgrad=True), DIM), "id", 3)
 
 
-@query(_step_sql(f"x - 0.1 * {_G} / (sqrt(0.1 + {_G} * {_G}) + 1e-8)"))
+@query(_step_sql("x - 0.1 * g / (sqrt(0.1 + g * g) + 1e-8)"))
 def adagrad(t):
-    return _long(updates.step(_table(t), _gradients(t), updates.Optimizer("adagrad", 0.1), DIM), "id", 5)
+    return _sums(updates.step(_table(t), _gradients(t), updates.Optimizer.from_text("adagrad", "lr=0.1;epsilon=1e-8"), DIM), "id", 3)
+
+
+@query(f"WITH {_DIMS}, s AS (SELECT id, d, x - 0.1 * (x * 0.5 + 0.25) AS x FROM e) SELECT id, id % 3 AS shard, {_BOTH.format(3)} FROM s GROUP BY id")
+def checkpoint_restore(t):
+    """A step's result saved as the second version in four shards, and the newest version read back in three."""
+    table = _table(t)
+    spark, path = table.sparkSession, new_path(table.sparkSession, "checkpoint")
+    gradients = table.select("id", F.transform("vec", lambda x: x * 0.5 + 0.25).alias("vec"))
+    updates.save(table, path, 1, 4)
+    updates.save(updates.step(table, gradients, updates.Optimizer("sgd", 0.1), DIM), path, 2, 4)
+    found = updates.restore(spark, path, 3)
+    return _sums(found.select(F.struct("id", F.col("shard").cast("bigint").alias("shard")).alias("at"), "vec"), "at", 3).select("at.*", "total", "weighted")
+
+
+@query("SELECT event_id, event_id % 10 AS version FROM events WHERE event_id % 10 > 6")
+def newer_versions(t):
+    return updates.newer(t("events").select("event_id", (F.col("event_id") % 10).alias("version")), 6)
+
+
+@query("SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'name' WHEN value IS NULL OR event_type = 'view' THEN 'width' END AS fault FROM events")
+def gradient_faults(t):
+    g = t("events").select("event_id", F.col("event_type").alias("name"), F.when(F.col("value").isNotNull(), F.array("value")).alias("vec"))
+    return g.select("event_id", updates.gradient_fault({"click": 1, "view": 2}).alias("fault"))
 
 
 @query("""
@@ -415,15 +655,28 @@ def exact_auc(t):
 
 
 @query("""
-WITH v AS (SELECT label, embedding[1:4] AS z, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS best FROM embeddings)
-SELECT round(avg((best = label % 4)::INT::DOUBLE), 6) AS accuracy,
-       round(avg(ln(list_sum(list_transform(z, lambda x: exp(x::DOUBLE - list_max(z)::DOUBLE)))) + list_max(z)::DOUBLE - z[label % 4 + 1]::DOUBLE), 6) AS loss FROM v
+WITH v AS (SELECT label % 64 AS y, embedding AS z, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings)
+SELECT round(avg((best = y)::INT::DOUBLE), 6) AS accuracy,
+       round(avg(ln(list_sum(list_transform(z, lambda x: exp(x::DOUBLE - list_max(z)::DOUBLE)))) + list_max(z)::DOUBLE - z[y + 1]::DOUBLE), 6) AS loss FROM v
 """)
 def argmax_and_softmax(t):
-    df = t("embeddings").select(F.slice("embedding", 1, 4).cast("array<double>").alias("z"), (F.col("label") % 4).alias("y"))
+    df = t("embeddings").select(F.col("embedding").cast("array<double>").alias("z"), (F.col("label") % DIM).alias("y"))
     return metrics.evaluate(df, {"accuracy": _r(metrics.argmax_accuracy(F.col("z"), F.col("y"))), "loss": _r(metrics.softmax_cross_entropy(F.col("z"), F.col("y")))})
 
 
+@query("SELECT o_orderkey, round(0.5 * o_totalprice - 2.0 * o_custkey + 1, 4) AS score FROM orders")
+def scored(t):
+    found = scoring.score(t("orders").select("o_orderkey", "o_totalprice", "o_custkey"), scoring.find("predictor", "linear")([0.5, -2.0], 1.0), ["o_totalprice", "o_custkey"])
+    return found.select("o_orderkey", _r(F.col("score"), 4).alias("score"))
+
+
+@query(f"WITH {_SCORED} SELECT round(avg(((p > 0.5)::INT = y)::INT::DOUBLE), 6) AS at_half, round(avg(((p > 0.25)::INT = y)::INT::DOUBLE), 6) AS at_quarter, round(avg(abs(p - y)), 6) AS distance FROM s")
+def metrics_by_output(t):
+    hit = lambda at: metrics.accuracy(F.col("p"), F.col("quality"), at)
+    found = metrics.nested(_scored(t), {"one": {"half": hit(0.5), "distance": scoring.average(F.abs(F.col("p") - F.col("quality")))}, "two": {"quarter": hit(0.25)}})
+    return found.select(_r(F.col("one.half")).alias("at_half"), _r(F.col("two.quarter")).alias("at_quarter"), _r(F.col("one.distance")).alias("distance"))
+
+
 @query("SELECT event_id % 10 AS version, round(avg(((value > 50)::INT = user_id % 2)::INT::DOUBLE), 6) AS accuracy FROM events WHERE (event_id % 10) % 3 = 0 AND event_id % 10 > 2 GROUP BY 1")
 def versioned_evaluation(t):
     df = t("events").select((F.col("event_id") % 10).alias("version"), "value", (F.col("user_id") % 2).alias("y"))

@@ -18,6 +18,8 @@ from millrace.functions import hashing, transforms
 from millrace.operators import statistics
 
 NUMERIC = ("normalize", "standardize", "bucketize")
+#: More bins than these are never derived.
+MOST_BINS = 1_000_000
 SIZED = ("bucketize", "lookup", "hash", "log_round", "round_identity")
 
 
@@ -27,7 +29,8 @@ class Step:
 
     Kinds: numeric, normalize, standardize, bucketize (buckets or boundaries), lookup
     (vocabulary or least), hash (bins, or derived from the distinct count; native), log_round
-    and round_identity (bins), cross (bins), group (concatenates id steps with offsets).
+    and round_identity (bins), cross (bins), group (concatenates id steps with offsets), embed
+    (dim; the ids that are looked up; on a text column a hash step is put before it).
     """
 
     name: str
@@ -42,7 +45,7 @@ class Step:
         if self.kind == "bucketize":
             return len(p["boundaries"]) + 1
         if self.kind == "lookup":
-            return len(p["vocabulary"]) + 1
+            return len(p["vocabulary"]) + p.get("oov", 1)
         if self.kind == "group":
             return sum(p["sizes"])
         return p["bins"]
@@ -71,14 +74,41 @@ class FeaturePlan:
             visit(s, ())
         return list(done.values())
 
+    def expanded(self, df: DataFrame) -> FeaturePlan:
+        """The plan in which a hash step stands between a text column and a step that embeds it."""
+        texts = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+        named, steps = {s.name for s in self.steps}, []
+        for s in self.steps:
+            if s.kind == "embed" and s.inputs[0] in texts and s.inputs[0] not in named:
+                hashed = f"{s.name}_hash"
+                bins = {"bins": s.parameters["bins"]} if "bins" in s.parameters else {}
+                steps.append(Step(hashed, "hash", list(s.inputs), bins))
+                s = Step(s.name, s.kind, [hashed], dict(s.parameters))
+            steps.append(s)
+        return FeaturePlan(steps)
+
+    def known(self, columns: Sequence[str]) -> tuple[FeaturePlan, list[str]]:
+        """The plan without the steps that need a column which is not there, and the names of those left out.
+
+        A group keeps the members that are left.
+        """
+        there, out, gone = set(columns), [], []
+        for s in self.order():
+            inputs = [i for i in s.inputs if i in there]
+            if len(inputs) == len(s.inputs) or s.kind == "group" and inputs:
+                out.append(Step(s.name, s.kind, inputs, dict(s.parameters)))
+                there.add(s.name)
+            else:
+                gone.append(s.name)
+        return FeaturePlan(out), gone
+
     def fit(self, df: DataFrame) -> FeaturePlan:
         """A plan with all parameters; given ones are kept. Steps that need an analysis read columns of df."""
-        steps = [Step(s.name, s.kind, list(s.inputs), dict(s.parameters)) for s in self.order()]
+        steps = [Step(s.name, s.kind, list(s.inputs), dict(s.parameters)) for s in self.expanded(df).order()]
         numeric = sorted({s.inputs[0] for s in steps if s.kind in ("normalize", "standardize") and not s.parameters})
         buckets = {s.inputs[0]: s.parameters["buckets"] for s in steps if s.kind == "bucketize" and "boundaries" not in s.parameters}
         distinct = sorted({s.inputs[0] for s in steps if s.kind == "hash" and "bins" not in s.parameters})
         wanted: list[Column] = [F.struct(*statistics.numeric_aggregates(n)).alias(f"n {n}") for n in numeric]
-        wanted += [statistics.percentiles(n, k).alias(f"b {n}") for n, k in buckets.items()]
         wanted += [F.count_distinct(d).alias(f"d {d}") for d in distinct]
         found = df.agg(*wanted).first().asDict(recursive=True) if wanted else {}
         by = {s.name: s for s in steps}
@@ -89,11 +119,11 @@ class FeaturePlan:
             elif s.kind == "standardize" and not p:
                 p |= {"mean": found[f"n {source}"]["mean"], "deviation": found[f"n {source}"]["deviation"]}
             elif s.kind == "bucketize" and "boundaries" not in p:
-                p["boundaries"] = sorted(set(found[f"b {source}"] or []))
+                p["boundaries"] = sorted(set(statistics.percentiles(df, source, buckets[source])))
             elif s.kind == "lookup" and "vocabulary" not in p:
                 p["vocabulary"] = statistics.ordered_vocabulary(df, source, p.get("least", 1), 10_000)
             elif s.kind == "hash" and "bins" not in p:
-                p["bins"] = max(1, statistics.hash_bucket_size(found[f"d {source}"]))
+                p["bins"] = min(MOST_BINS, max(1, statistics.hash_bucket_size(found[f"d {source}"])))
             elif s.kind == "group":
                 p["sizes"] = [by[i].size for i in s.inputs]
                 p["offsets"] = transforms.id_offsets(p["sizes"])
@@ -119,7 +149,9 @@ class FeaturePlan:
         if s.kind == "bucketize":
             return transforms.bucketize(p["boundaries"])(x.cast("double"))
         if s.kind == "lookup":
-            return transforms.index_lookup(p["vocabulary"])(x)
+            return transforms.index_lookup(p["vocabulary"], p.get("oov", 1))(x)
+        if s.kind == "embed":
+            return x.cast("bigint")
         if s.kind == "hash":
             return (hashing.native_hash_bucket if p.get("native") else hashing.hash_bucket)(p["bins"])(x)
         if s.kind == "log_round":

@@ -7,10 +7,12 @@ key. Retrying is Spark's: a failed task runs again, and its output counts once.
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
@@ -181,6 +183,36 @@ def typed_record(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     return df.select(*[made[k](F.col(n)).alias(n) for n, k in kinds.items()])
 
 
+def flatten_images(df: DataFrame, image: str, levels: int = 2) -> DataFrame:
+    """`image`, nested arrays of numbers of so many levels, as one array<float>."""
+    out = F.col(image)
+    for _ in range(levels - 1):
+        out = F.flatten(out)
+    return df.withColumn(image, out.cast("array<float>"))
+
+
+def first_share(df: DataFrame, order: Sequence[str], fraction: float) -> DataFrame:
+    """The first floor(fraction * rows) rows in the order."""
+    from millrace.operators.sharding import row_numbers
+
+    total = df.agg(F.floor(F.count(F.lit(1)) * fraction).alias("_n"))
+    return row_numbers(df, order, "_row").join(F.broadcast(total)).where(F.col("_row") < F.col("_n")).drop("_row", "_n")
+
+
+def tuples(spark: SparkSession, make: Callable[[int], Iterable[tuple]], parts: int, schema: StructType | str) -> DataFrame:
+    """Rows of a typed generator: make(part) yields the tuples of each of `parts` parts, in the tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                rows = list(make(part))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names, arrow = kind.names, to_arrow_schema(kind)
+    return spark.range(parts).repartition(parts, "id").mapInArrow(run, kind)
+
+
 def write_shards(df: DataFrame, path: str, records_per_file: int) -> None:
     df.write.option("maxRecordsPerFile", records_per_file).mode("error").parquet(path)
 

@@ -4,7 +4,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, sharding, statistics, updates, vectors
+from millrace.functions import transforms
+from millrace.operators import metrics, scoring, sharding, statistics, updates, vectors
 from millrace.plans.features import FeaturePlan, Step
 from millrace.sources import readers
 from millrace.streaming import keyed_state
@@ -38,6 +39,134 @@ def test_sharding(spark):
     assert sharding.batches_an_epoch(10, 3) == 3
 
 
+def test_row_numbers_of_wide_tables_in_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(50_000).select((F.col("id") * 7919 % 50_021).alias("k"), F.col("id").cast("string").alias("a"), F.array("id", "id").alias("b"), (F.col("id") % 3).alias("c"))
+        rows = sharding.row_numbers(df, ["k"])
+        assert rows.columns == ["k", "a", "b", "c", "row"]
+        found = rows.select("k", "row").collect()
+        assert [r.row for r in sorted(found)] == list(range(50_000))
+        split = sharding.systematic_split(df, ["k"])
+        assert split.count() == 50_000 and split.where("evaluation").count() == 2_500
+        assert readers.ordered_split(df, ["k"]).where("training").count() == 37_500
+        assert readers.row_range(df, ["k"], 100, 170).count() == 70
+        ties = sharding.running_sums(df, ["c"], {"n_before": None, "c_before": "c"}).groupBy("c").agg(F.min("n_before"), F.max("n_before"), F.max("c_before")).orderBy("c").collect()
+        assert ties[0][1] == 0 and ties[1][1] == ties[0][2] + 1 and ties[2][2] == 49_999 and ties[1][3] == ties[1][2] - ties[1][1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sharding.row_numbers(spark.range(0), ["id"]).count() == 0
+
+
+def test_percentiles_and_auc_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    values = [rng.choice([rng.random(), round(rng.random(), 1), None]) for _ in range(997)]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "x double, y int")
+    known = [v for v in values if v is not None]
+    for n in (2, 3, 10, 37):
+        assert statistics.percentiles(df, "x", n) == pytest.approx(list(np.percentile(known, [100 * k / n for k in range(1, n)])))
+    assert statistics.percentiles(df.where("x > 2"), "x", 4) == [] and statistics.percentiles(df, "x", 4, approximate=True)
+    pairs = [(v, i % 2) for i, v in enumerate(values) if v is not None]
+    pos, neg = [v for v, y in pairs if y], [v for v, y in pairs if not y]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    assert metrics.exact_auc(df.where("x IS NOT NULL"), "x", "y").first().auc == pytest.approx(want)
+    out = metrics.nested(df.where("x IS NOT NULL"), {"a": {"m": metrics.accuracy(F.col("x"), F.col("y"))}}).first()
+    assert 0 <= out.a.m <= 1
+
+
+def test_manifests_and_shuffles(spark):
+    tasks = sharding.manifest(1050, 100, 5, spark).orderBy("start").collect()
+    assert [(r.start, r.end) for r in tasks] == [(0, 500), (500, 1000), (1000, 1050)]
+    with pytest.raises(ValueError):
+        sharding.manifest(0, 1, 1, spark)
+    each = sharding.shuffled(spark.range(50), 2, 9, ["id"]).collect()
+    orders = [[r.id for r in sorted((r for r in each if r.epoch == e), key=lambda r: r.place)] for e in (0, 1)]
+    assert sorted(orders[0]) == sorted(orders[1]) == list(range(50)) and orders[0] != orders[1] and orders[0] != sorted(orders[0])
+
+
+def test_pooling_and_masks(spark, vector_table):
+    rows = spark.createDataFrame([(0, [1, 3], [2]), (1, [], None), (2, [9, -1], [1, 1])], "key int, a array<bigint>, b array<bigint>")
+    got = {r.key: (r.a, r.b) for r in vectors.pooled(rows, {"a": vector_table, "b": vector_table}, 2).collect()}
+    assert got == {0: ([4, 4], [2, 2]), 1: ([0, 0], [0, 0]), 2: ([0, 0], [2, 2])}
+    assert rows.select(vectors.mask(F.col("a")).alias("m")).first().m == [True, True]
+    ids = spark.createDataFrame([(0, [0, 1, 3])], "key int, ids array<bigint>")
+    assert vectors.combine(ids, vector_table, 2, "mean", zero_is_missing=True).first().vec == [2, 2]
+
+
+def test_gradients_are_checked(spark):
+    g = spark.createDataFrame([("a", [1.0]), ("b", [1.0]), ("c", [1.0]), ("a", None)], "name string, vec array<double>")
+    assert [r.f for r in g.select(updates.gradient_fault({"a": 1, "b": 2}).alias("f")).collect()] == [None, "width", "name", "width"]
+    assert updates.checked(g.limit(1), {"a": 1, "b": 2}).count() == 1
+    with pytest.raises(Exception, match="wrong in its width"):
+        updates.checked(g.where("name = 'b'"), {"a": 1, "b": 2}).count()
+    versions = spark.createDataFrame([(1,), (2,), (3,)], "version int")
+    assert updates.newer(versions, 2).count() == 1 and updates.newer(versions, 2, inclusive=True).count() == 2
+
+
+def test_plugins_and_scoring(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
+    assert [r.score for r in scoring.score(df, scoring.find("predictor", "linear")([2.0, 1.0], 0.5), ["a", "b"]).collect()] == [4.5, 10.5]
+    with pytest.raises(ValueError):
+        scoring.find("predictor", "nothing")
+    with pytest.raises(ValueError):
+        scoring.plugin("predictor", "linear")(len)
+    assert df.agg(scoring.average(F.col("a") > 2).alias("m")).first().m == 0.5
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.range(10).select("id", (F.col("id") % 2).alias("worker_of"))
+    spark.sql("DROP TABLE IF EXISTS sink_table")
+    readers.write_table(df.select("id"), "sink_table", F.col("id") % 2)
+    readers.write_table(df.select("id"), "sink_table", F.col("id") % 2)
+    assert spark.table("sink_table").where("worker = 1").count() == 10
+    assert readers.open_source(spark, "sink_table", columns=["id"], partition={"worker": 0}).count() == 10
+    spark.sql("DROP TABLE sink_table")
+    readers.write_shards(df.coalesce(1), str(tmp_path / "shards"), 3)
+    assert len(list((tmp_path / "shards").glob("part-*"))) == 4
+    folder = tmp_path / "delivered"
+    folder.mkdir()
+    scoring.deliver(df.repartition(3), lambda part, rows: (folder / str(part)).write_text("".join(f"{r.id}\n" for r in rows)))
+    assert sorted(int(x) for f in folder.iterdir() for x in f.read_text().split()) == list(range(10))
+
+
+def test_images_and_generators(spark, tmp_path):
+    for name in ("cat/1.bin", "dog/2.bin"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_bytes(name.encode())
+    got = {(r["class"], bytes(r.content)) for r in readers.open_source(spark, str(tmp_path), "images", glob="*.bin").collect()}
+    assert got == {("cat", b"cat/1.bin"), ("dog", b"dog/2.bin")}
+    df = spark.createDataFrame([(i, [[i, 1], [2, 3]]) for i in range(9)], "id int, image array<array<int>>")
+    flat = readers.flatten_images(readers.first_share(df, ["id"], 0.5), "image")
+    assert [r.image for r in flat.orderBy("id").collect()] == [[float(i), 1, 2, 3] for i in range(4)]
+    rows = readers.tuples(spark, lambda part: ((part, "x" * k) for k in range(part)), 4, "a int, b string")
+    assert sorted(map(tuple, rows.collect())) == [(p, "x" * k) for p in range(4) for k in range(p)]
+
+
+def test_plans_expand_and_skip(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "n int, s string")
+    plan = FeaturePlan([Step("e", "embed", ["s"], {"dim": 4}), Step("i", "round_identity", ["n"], {"bins": 5}), Step("direct", "embed", ["i"], {"dim": 4})]).fit(df)
+    assert [s.name for s in plan.order()] == ["e_hash", "e", "i", "direct"]
+    ids = plan.apply(df, ["e", "direct"]).collect()
+    assert ids[0].e == ids[2].e < 6 and [r.direct for r in ids] == [1, 2, 3]
+    known, gone = FeaturePlan([Step("g", "group", ["i", "l"]), Step("i", "round_identity", ["n"], {"bins": 5}), Step("l", "lookup", ["gone"])]).known(df.columns)
+    assert gone == ["l"] and [r.g for r in known.fit(df).apply(df, ["g"]).collect()] == [[1], [2], [3]]
+
+
+def test_environment_names_a_vocabulary(spark, tmp_path):
+    (tmp_path / "v.txt").write_text(" b \na\n")
+    stats = statistics.FeatureStats.from_environment("c", {"_c_vocab": str(tmp_path / "v.txt")})
+    terms = transforms.terms_of(spark, stats.vocabulary_path)
+    assert terms == ["b", "a"] and stats.minimum is None
+    (tmp_path / "w.txt").write_text("a\na \n")
+    with pytest.raises(ValueError):
+        transforms.terms_of(spark, str(tmp_path / "w.txt"))
+
+
 @pytest.fixture(scope="module")
 def vector_table(spark):
     return spark.createDataFrame([(i, [float(i)] * 2) for i in range(4)], "id bigint, vec array<double>")

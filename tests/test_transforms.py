@@ -55,10 +55,28 @@ def test_fingerprint_lengths_differ():
     assert len(seen) == 200 and all(0 <= x < 1 << 64 for x in seen)
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.binary(max_size=150), st.integers(1, 1000))
-def test_fingerprint_is_stable(data, n):
-    assert hashing.fingerprint64(data) % n == hashing.fingerprint64(bytes(data)) % n < n
+def test_lookup_with_several_indices_for_other_terms(spark):
+    got = values(spark, transforms.index_lookup(["x", "y"], 3), ["x", "y", "A", "B", "C", "D", "E", None], "string")
+    assert got == [0, 1, 3, 2, 3, 3, 4, None]  # A to E fall into buckets 1, 0, 1, 1, 2 of three
+    assert values(spark, transforms.index_lookup([], 3), ["A", "B"], "string") == [1, 0]
+    vocabulary = spark.createDataFrame([("x", 0), ("y", 1)], "value string, id int")
+    df = spark.createDataFrame([("x",), ("y",), ("E",), (None,)], "c string")
+    assert [r.id for r in transforms.lookup_in(df, "c", vocabulary, num_oov=3).collect()] == [0, 1, 4, None]
+
+
+def test_named_concatenation(spark):
+    parts = {"b": (F.array(F.lit(1)), 10), "a": (F.array(F.lit(2)), 5)}
+    name, ids, size = transforms.concatenated(parts)
+    assert name == "a_C_b" and size == 15 and spark.range(1).select(ids.alias("i")).first().i == [1, 12]
+    for wrong, error in (({}, ValueError), ({"a": (F.lit(1), 0)}, ValueError), ({"a": (F.lit(1), 2.5)}, TypeError), ({1: (F.lit(1), 2)}, TypeError)):
+        with pytest.raises(error):
+            transforms.concatenated(wrong)
+
+
+def test_table_valued_key_values(spark):
+    spark.udtf.register("key_values", key_values.KeyValues)
+    rows = spark.sql("SELECT * FROM VALUES ('a:1, b : 2 ,a:3'), (''), (NULL) AS t(kv), LATERAL key_values(kv, 'a, b', ',', ':')").collect()
+    assert [tuple(r)[1:] for r in rows] == [("3", "2"), (None, None), (None, None)]
 
 
 def test_key_values(spark):
