@@ -21,7 +21,7 @@ from millrace.workspace import new_path, stored
 #: Fixed values.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one digest that are compared together.
-PART = 1000
+PART = 256
 #: State on disk; without preallocated files, of which each partition of the state would have some.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

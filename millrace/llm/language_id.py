@@ -104,10 +104,10 @@ class Model:
         out[~some] = 0
         return out
 
-    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text (start, end, language, letters) of its spans, by Viterbi.
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int, int, int]]]:
+        """For each text (start, end, language, letters, known letters) of its spans, by Viterbi.
 
-        The texts advance together, one word a step, the longest first.
+        Known letters are those of words in whose script some language was learned. The texts advance together, one word a step, the longest first.
         """
         w = words_of(texts)
         scores = self.word_scores(w)
@@ -142,28 +142,30 @@ class Model:
                 state[:k] = np.where(switched[at, here], source[at], here)
         return self._spans(w, path)
 
-    @staticmethod
-    def _spans(w: Words, path: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in w.counts]
+    def _spans(self, w: Words, path: np.ndarray) -> list[list[tuple[int, int, int, int, int]]]:
+        out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in w.counts]
         if not len(path):
             return out
         text = np.repeat(np.arange(len(w.counts)), w.counts)
         new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (path[1:] != path[:-1])])
         letters = np.add.reduceat(w.ends - w.starts, new)
+        known = np.add.reduceat((w.ends - w.starts) * self.allowed.any(1)[w.script], new)
         last = np.r_[new[1:], len(path)] - 1
         owner = text[new]
-        for d, s, e, label, n in zip(owner.tolist(), (w.starts[new] - w.offsets[owner]).tolist(), (w.ends[last] - w.offsets[owner]).tolist(), path[new].tolist(), letters.tolist(), strict=True):
-            out[d].append((s, e, label, n))
+        columns = (owner, w.starts[new] - w.offsets[owner], w.ends[last] - w.offsets[owner], path[new], letters, known)
+        for d, *span in zip(*(c.tolist() for c in columns), strict=True):
+            out[d].append(tuple(span))
         return out
 
-    def label(self, spans: list[tuple[int, int, int, int]]) -> tuple[str, float]:
+    def label(self, spans: list[tuple[int, int, int, int, int]]) -> tuple[str, float]:
         if not spans or not self.languages:
             return UNDETERMINED, 0.0
-        letters = [0] * len(self.languages)
-        for _, _, label, n in spans:
-            letters[label] += n
+        letters, total = [0] * len(self.languages), 0
+        for _, _, label, n, known in spans:
+            letters[label] += known
+            total += n
         best = max(range(len(letters)), key=letters.__getitem__)
-        return self.languages[best], letters[best] / sum(letters)
+        return self.languages[best], letters[best] / total
 
 
 def fit(labelled: DataFrame, most_rows: int = 8000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -215,8 +217,9 @@ def fit(labelled: DataFrame, most_rows: int = 8000, lang_col: str = "lang", id_c
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score, spans array<struct<start, end, lang>>.
 
-    score is the share of the letters that are labelled with lang_pred. A text that is
-    null or has no letter is "und" with score 0 and no spans. Span bounds are code points,
+    score is the share of the letters that are labelled with lang_pred; letters of a script
+    in which nothing was learned count as labelled with none, so that a text of only such
+    letters has score 0. A text that is null or has no letter is "und" with score 0 and no spans. Span bounds are code points,
     the end exclusive, from a span's first word to its last. Ties go to the language that
     comes first in order of name. Null and repeated ids are carried as they are; other
     columns are ignored.
@@ -234,7 +237,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for a, b in slices(texts, 4_000_000):
                 found = m.spans(texts[a:b]) if m.languages else [[] for _ in range(b - a)]
                 labels += map(m.label, found)
-                spans += [[{"start": s, "end": e, "lang": m.languages[k]} for s, e, k, _ in x] for x in found]
+                spans += [[{"start": s, "end": e, "lang": m.languages[k]} for s, e, k, *_ in x] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in labels], pa.string()), pa.array([x for _, x in labels], pa.float64()), pa.array(spans, span)], ["id", "lang_pred", "score", "spans"]
             )

@@ -211,10 +211,33 @@ def test_language_spans_of_mixed_text():
     allowed[language_id.SCRIPTS.index("latin"), 0] = allowed[language_id.SCRIPTS.index("cyrillic"), 1] = True
     model = language_id.Model(languages, scores, allowed)
     spans = model.spans(["haus und дом и улица 12", "", "123", "haus"])
-    assert [(s, e, languages[k]) for s, e, k, _ in spans[0]] == [(0, 8, "de"), (9, 20, "ru")]
+    assert [(s, e, languages[k]) for s, e, k, *_ in spans[0]] == [(0, 8, "de"), (9, 20, "ru")]
     assert spans[1] == spans[2] == [] and model.label(spans[1]) == ("und", 0.0) and model.label(spans[3]) == ("de", 1.0)
 
 
+def test_viterbi_equals_all_paths():
+    """The labels have the best total of all sequences of languages, with a penalty for each change."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    languages = ["a", "b", "c"]
+    allowed = np.zeros((len(language_id.SCRIPTS), 3), bool)
+    allowed[language_id.SCRIPTS.index("latin")] = True
+    allowed[language_id.SCRIPTS.index("cyrillic"), 2] = True
+    texts = [" ".join("".join(RNG.choice("abcdeдом" if k % 3 else "abcde") for _ in range(RNG.randint(1, 6))) for _ in range(RNG.randint(0, 7))) for k in range(60)]
+    for scale in (1.0, 6.0):
+        model = language_id.Model(languages, (rng.normal(size=(language_id.BUCKETS, 3)) * scale).astype(np.float32), allowed)
+        for t, spans in zip(texts, model.spans(texts), strict=True):
+            w = language_id.words_of([t])
+            scores = model.word_scores(w)
+            total = lambda p: sum(float(scores[i, k]) for i, k in enumerate(p)) - language_id.SWITCH * sum(x != y for x, y in zip(p, p[1:], strict=False))  # noqa: E731, B023
+            path = [next(k for s, e, k, *_ in spans if s <= a < e) for a in w.starts.tolist()]
+            best = max((total(p) for p in itertools.product(range(3), repeat=len(path))), default=0.0)
+            assert total(path) == pytest.approx(best, abs=1e-3)
+    unknown = model.spans(["日本語", "日本語 ab"])
+    assert model.label(unknown[0])[1] == 0.0 and model.label(unknown[1])[1] == pytest.approx(2 / 5)
+
+
 def test_whole_groups_are_not_cut():
     import pyarrow as pa
 
