@@ -1,19 +1,18 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that starts anywhere else too.
 
-Only the first `length` bytes of a suffix matter, so the suffix array is built to that
-depth, by a difference cover whose sample is chosen by content instead of by residue:
-the sample position of a suffix is its minimizer, so equal strings reach sampled
-suffixes at equal distances.
-
-1. Sampled suffixes of which nothing else has the same core (the bytes that all strings
-   with this sample position share) are discarded; those that agree in all strings that
-   reach them are one class, of which one stands for all.
-2. For the rest, the sampled suffixes are sorted by triples of symbols, the names of the
-   triples are the symbols of the next level, and so on, until one name is left for
-   each: its rank.
-3. The remaining suffixes are placed by the rank of the sampled suffix that they reach,
-   their distance to it, and the bytes on both sides; neighbours in this order are
-   compared, and equal ones are repeats.
+1. Suffixes that cannot have a partner are discarded: a string of `length` bytes reaches
+   an anchor chosen by its content alone, and around that anchor it holds a core of bytes;
+   where a core stands nowhere else, no string with it does. Places whose whole
+   surroundings are the same are one class, of which one member goes on for all.
+2. What is left, strips of texts, is parsed into phrases that overlap by a trigger and of
+   which none is a prefix of another, so that the order of phrases gives the order of
+   suffixes. The phrases are sorted and numbered by their bytes.
+3. `suffix_ranks` sorts the suffixes of the phrase sequences by a difference cover modulo
+   3: the triples at places 1 and 2 modulo 3 are sorted and named, the names are sorted by
+   recursion, and the suffixes at places 0 modulo 3 are merged with the others.
+4. The remaining suffixes, those inside phrases, are merged by the rest of their phrase and
+   the rank of the next one. Neighbours in the order of all suffixes compare the first
+   `length` bytes of each other.
 """
 
 from __future__ import annotations
@@ -25,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.anchors import WINDOW, Prints, combine, minimizers
+from pyspark.sql.window import Window
+
+from millrace.llm.anchors import GRAM, WINDOW, Prints, combine, minimizers
+from millrace.operators.sharding import running_sums
 from millrace.workspace import stored
 
-#: Levels of triples; a core is cut into 3**LEVELS symbols.
-LEVELS = 2
 SLICE = 1_000_000
+#: One place in so many begins a phrase.
+PHRASE = 32
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -68,23 +70,53 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, a int, lo int, hi int, core bigint, u bigint")
 
 
-def _names(symbols: DataFrame, levels: int) -> DataFrame:
-    """owner, name: names in the order of the owners' symbol strings. symbols: owner, at, symbol.
+def suffix_ranks(symbols: DataFrame, depth: int) -> DataFrame:
+    """s, i, rank: how many suffixes of all sequences are smaller than the one of sequence s from place i on.
 
-    Sorts the triples of a level, names them by their order, and recurses on the names.
+    symbols: s, i (from 0, without gaps), sym (positive). The order is that of the first
+    `depth` symbols at least, in which the end of a sequence is smaller than any symbol;
+    suffixes that agree in these may have the same rank.
     """
-    if not levels:
-        return symbols.select("owner", F.col("symbol").alias("name"))
-    pick = [F.max(F.when(F.col("at") % 3 == k, F.col("symbol"))).alias(f"t{k}") for k in range(3)]
-    triples = stored(symbols.groupBy("owner", F.floor(F.col("at") / 3).alias("at")).agg(*pick), "suffix-triples")
-    keys = ["t0", "t1", "t2"]
-    distinct = triples.select(keys).distinct()
-    order = stored(distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("symbol", F.monotonically_increasing_id()), "suffix-names")
-    return _names(triples.join(order, keys).select("owner", "at", "symbol"), levels - 1)
+    if depth <= 1:
+        sizes = symbols.groupBy("sym").agg(F.count(F.lit(1)).alias("n"))
+        return symbols.join(stored(running_sums(sizes, ["sym"], {"rank": "n"}), "suffix-first").select("sym", "rank"), "sym").select("s", "i", "rank")
+    ahead = Window.partitionBy("s").orderBy("i")
+    after = lambda c, k: F.coalesce(F.lead(c, k).over(ahead), F.lit(0).cast("bigint"))
+    triples = stored(symbols.select("s", "i", F.col("sym").alias("t0"), after("sym", 1).alias("t1"), after("sym", 2).alias("t2")), "suffix-triples")
+    keys, place = ["t0", "t1", "t2"], F.col("i") % 3
+    sampled = triples.where(place != 0)
+    names = stored(running_sums(sampled.select(keys).distinct(), keys, {"name": None}), "suffix-names")
+    reduced = sampled.join(names, keys).select((F.col("s") * 2 + place - 1).alias("s"), F.floor(F.col("i") / 3).cast("int").alias("i"), (F.col("name") + 1).alias("sym"))
+    ranks = suffix_ranks(reduced, -(-depth // 3))
+    ranks = ranks.select(F.shiftright("s", 1).alias("s"), (F.col("i") * 3 + 1 + F.col("s") % 2).cast("int").alias("i"), "rank")
+    both = triples.join(ranks, ["s", "i"], "left").withColumn("up", F.col("rank") + 1)
+    known = stored(both.select("s", "i", "t0", "t1", "rank", after("up", 1).alias("r1"), after("up", 2).alias("r2")), "suffix-known")
+    # A suffix at place 0 compares with one at place 1 by a symbol and the rank after it, with one at place 2 by two symbols and the rank after them.
+    sums = lambda k: [F.count_if(place == m).cast("bigint").alias(f"n{m}") for m in (0, k)]
+    one = running_sums(known.where(place != 2).groupBy("t0", "r1").agg(*sums(1)), ["t0", "r1"], {"a0": "n0", "a1": "n1"}).drop("n0", "n1")
+    two = running_sums(known.where(place != 1).groupBy("t0", "t1", "r2").agg(*sums(2)), ["t0", "t1", "r2"], {"b0": "n0", "b2": "n2"}).drop("n0", "n2")
+    one, two = stored(one, "suffix-merged"), stored(two, "suffix-merged")
+    zero = known.where(place == 0).join(one, ["t0", "r1"]).join(two, ["t0", "t1", "r2"]).select("s", "i", (F.col("a0") + F.col("a1") + F.col("b2")).alias("rank"))
+    first = known.where(place == 1).join(one, ["t0", "r1"]).select("s", "i", (F.col("rank") + F.col("a0")).alias("rank"))
+    second = known.where(place == 2).join(two, ["t0", "t1", "r2"]).select("s", "i", (F.col("rank") + F.col("b0")).alias("rank"))
+    return zero.unionByName(first).unionByName(second)
+
+
+def phrase_starts(data: np.ndarray) -> np.ndarray:
+    """Where the phrases of a strip begin: at its begin, and at every trigger, which the 16 bytes from there on decide."""
+    at = np.arange(max(0, len(data) - GRAM + 1))
+    found = at[Prints(data).of(at, at + GRAM) % np.uint64(PHRASE) == 0] if len(at) else at
+    return np.concatenate([[0], found[found > 0]]).astype(np.int64)
+
+
+def phrases(data: bytes, starts: np.ndarray) -> list[bytes]:
+    """Each phrase with the trigger that ends it."""
+    ends = np.append(starts[1:] + GRAM, len(data)).tolist()
+    return [data[b:e] for b, e in zip(starts.tolist(), ends, strict=True)]
 
 
 def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The input as (key, id, text) and, for the texts that lose bytes, (key, n_removed, spans, kept).
+    """The input as (key, key2, id, text) and, for the texts that lose bytes, (key, key2, n_removed, spans, kept).
 
     spans are [start, end) in bytes, kept is what is left; `deduplicated` puts both together.
 
@@ -97,109 +129,183 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     if length < 2 * WINDOW:
         raise ValueError("length must be 256 at least")
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    source = source.select(F.xxhash64("id", "text").alias("key"), "id", "text")
-    keyed = source.select("key", "text").where(F.octet_length("text") >= length)
-    found = _anchors(keyed, length)
-    again = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    source = source.select(F.xxhash64("id", "text").alias("key"), F.xxhash64(F.lit(length), "text", "id").alias("key2"), "id", "text")
+    keyed = source.select("key", "key2", "text").where(F.octet_length("text") >= length)
+    found = _anchors(keyed.select("key", "text"), length)
+    again = stored(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "suffix-again")
     kept = stored(found.join(again, "core"), "suffix-sampled")
-    classes = kept.groupBy("core", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a", "lo", "hi")).alias("one"))
-    kinds = classes.groupBy("core").agg(F.count(F.lit(1)).alias("classes"))
+    one = F.struct("key", "a", "lo", "hi")
+    classes = kept.groupBy("core", "u").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
+    kinds = stored(classes.groupBy("core").agg(F.count(F.lit(1)).alias("classes")), "suffix-kinds")
     classes = stored(classes.join(kinds, "core").withColumn("cls", F.monotonically_increasing_id()), "suffix-classes")
     placed = kept.join(classes.select("core", "u", "n", "classes", "cls", "one"), ["core", "u"])
     is_one = (F.col("one.key") == F.col("key")) & (F.col("one.a") == F.col("a"))
-    placed = placed.select("key", "a", "lo", "hi", (F.col("n") > 1).alias("sure"), F.when((F.col("classes") > 1) & is_one, F.col("cls")).alias("cls"))
-    placed = placed.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "a", "sure", "cls"))).alias("sampled"))  # bounded by the text
-    texts = stored(keyed.dropDuplicates(["key"]).join(placed, "key"), "suffix-texts")
+    # Copies of a row (same id and text) have one key: they agree in all, and are two members of a class.
+    placed = placed.select("key", "a", "lo", "hi", "core", "u", (F.col("n") > 1).alias("sure"), F.when((F.col("classes") > 1) & is_one, F.col("cls")).alias("cls"))
+    placed = placed.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "a", "sure", "cls", "core", "u"))).alias("sampled"))  # bounded by the text
+    texts = stored(keyed.dropDuplicates(["key", "key2"]).join(placed, "key"), "suffix-texts")
 
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = length - WINDOW + 1
-        cuts = np.array([size * k // 3**LEVELS for k in range(3**LEVELS + 1)])
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of a text in which classes stand for which it is the member that goes on; most: phrases begun in `length` bytes."""
         for batch in batches:
-            for data, cls, a, _, _ in _open(batch):
-                prints = Prints(data)
-                values = prints.of((a[:, None] + cuts[:-1]).ravel(), (a[:, None] + cuts[1:]).ravel()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, 3**LEVELS)), pa.array(np.tile(np.arange(3**LEVELS), len(cls))), pa.array(values)], ["owner", "at", "symbol"])
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each class the prints of the bytes before and after the core, for each start."""
-        size = length - WINDOW + 1
+            rows = []
+            for text, sampled in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist(), strict=True):
+                data = text.encode()
+                entries = [e for e in _own(data, sampled, length) if e["cls"] is not None]
+                for b, e in merged([(x["lo"], x["hi"] + length) for x in entries]):
+                    begin = phrase_starts(np.frombuffer(data, np.uint8, e - b, b))
+                    most = int((np.searchsorted(begin, begin + length) - np.arange(len(begin))).max()) + 1
+                    rows.append((data[b:e], most, [{"lo": x["lo"] - b, "hi": x["hi"] - b, "a": x["a"] - b, "cls": x["cls"]} for x in entries if b <= x["lo"] < e]))
+            kinds = (pa.binary(), pa.int32(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("a", pa.int32()), ("cls", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, kinds, strict=True)], ["data", "most", "classes"])
+
+    strips = texts.select("text", "sampled").mapInArrow(strip, "data binary, most int, classes array<struct<lo:int,hi:int,a:int,cls:bigint>>")
+    strips = stored(strips.withColumn("s", F.monotonically_increasing_id()), "suffix-strips")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, cls, a, lo, hi in _open(batch):
-                prints = Prints(data)
-                counts = hi - lo + 1
-                ends = np.cumsum(counts)
-                p = np.repeat(lo - (ends - counts), counts) + np.arange(ends[-1])
-                at = np.repeat(a, counts)
-                both = combine(prints.of(p, at), prints.of(at + size, p + length)).tobytes()
-                packed = [both[8 * (e - c) : 8 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array((a - lo).astype(np.int32)), pa.array(packed, pa.binary())], ["cls", "most", "prints"])
-
-    ranks = _names(texts.mapInArrow(symbols, "owner bigint, at bigint, symbol bigint"), LEVELS)
-    shared = stored(ranks.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("name"), "suffix-shared")
-    ranked = ranks.join(shared, "name").select(F.col("owner").alias("cls"), "name")
-    beside = texts.mapInArrow(around, "cls bigint, most int, prints binary").join(ranked, "cls")
+            for s, data in zip(batch.column("s").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                found = phrases(data, phrase_starts(np.frombuffer(data, np.uint8)))
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.binary())], ["s", "i", "phrase"])
+
+    parsed = strips.select("s", "data").mapInArrow(parse, "s bigint, i int, phrase binary")
+    depth = strips.agg(F.max("most")).first()[0] or 1
+    numbers = stored(running_sums(parsed.select("phrase").distinct(), ["phrase"], {"name": None}), "suffix-phrases")
+    symbols = stored(parsed.join(numbers, "phrase").select("s", "i", (F.col("name") + 1).alias("sym")), "suffix-symbols")
+    ranks = suffix_ranks(symbols, depth).groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "rank"))), lambda x: x["rank"]).alias("ranks"))
+    ranked = stored(strips.join(ranks, "s"), "suffix-ranked")
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each place at which a string of a class begins: what is left of its phrase, and the rank after it (0: none)."""
         for batch in batches:
-            prints = [np.frombuffer(x, np.uint64) for x in batch.column("prints").to_pylist()]
-            counts = np.array([len(x) for x in prints], np.int64)
-            if not len(counts):
-                continue
-            which = np.repeat(np.arange(len(counts)), counts)
-            distance = np.repeat(batch.column("most").to_numpy(), counts) - (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column("name").to_numpy()[which]), pa.array(distance.astype(np.int32)), pa.array(np.concatenate(prints).view(np.int64)), pa.array(batch.column("cls").to_numpy()[which])], ["name", "d", "print", "cls"]
-            )
+            for s, data, classes, ranks in zip(*(batch.column(c).to_pylist() for c in ("s", "data", "classes", "ranks")), strict=True):
+                begin = phrase_starts(np.frombuffer(data, np.uint8))
+                end = np.append(begin[1:] + GRAM, len(data))
+                after = np.append(np.array(ranks[1:], np.int64) + 1, 0)
+                p = np.concatenate([np.arange(c["lo"], c["hi"] + 1) for c in classes])
+                k = np.searchsorted(begin, p, side="right") - 1
+                for x in range(0, len(p), 20_000):
+                    q, kq = p[x : x + 20_000], k[x : x + 20_000]
+                    rest = [data[b:e] for b, e in zip(q.tolist(), end[kq].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rest, pa.binary()), pa.array(after[kq]), pa.array(np.full(len(q), s)), pa.array(q.astype(np.int32))], ["rest", "rank", "s", "p"])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of neighbours that agree in the rest of their phrase (or in `length` bytes of it).
+
+        The first and the last row of a partition, too, with its number, as pairs of one.
+        """
+        from pyspark import TaskContext
+
+        part, last = TaskContext.get().partitionId(), None
+
+        def rows(pairs: list, edge: int | None = None) -> pa.RecordBatch:
+            columns = list(zip(*pairs, strict=True)) if pairs else [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array([edge] * len(pairs), pa.int64())], ["s", "p", "s2", "p2", "edge"])
+
+        for batch in batches:
+            pairs = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("rest", "s", "p")), strict=True):
+                if last is None:
+                    yield rows([(row[1], row[2], row[1], row[2])], 2 * part)
+                elif row[0] == last[0] or row[0][:length] == last[0][:length]:
+                    pairs.append((last[1], last[2], row[1], row[2]))
+                last = row
+            yield rows(pairs)
+        if last is not None:
+            yield rows([(last[1], last[2], last[1], last[2])], 2 * part + 1)
+
+    order = ["rest", "rank"]
+    sorted_ = ranked.select("s", "data", "classes", "ranks").mapInArrow(starts, "rest binary, rank bigint, s bigint, p int").repartitionByRange(*order).sortWithinPartitions(*order)
+    beside = stored(sorted_.mapInArrow(neighbours, "s bigint, p int, s2 bigint, p2 int, edge bigint"), "suffix-pairs")
+    edges = beside.where("edge IS NOT NULL").withColumn("before", F.lag(F.struct("edge", "s", "p")).over(Window.orderBy("edge")))  # two rows a partition
+    across = edges.where("edge % 2 = 0 AND before IS NOT NULL").select(F.col("before.s").alias("s"), F.col("before.p").alias("p"), F.col("s").alias("s2"), F.col("p").alias("p2"))
+    pairs = beside.where("edge IS NULL").drop("edge").unionByName(across)
+    pairs = pairs.groupBy("s", "s2", (F.col("p2") - F.col("p")).alias("shift")).agg(F.sort_array(F.collect_set("p")).alias("ps"))  # bounded by the strip
+    pairs = stored(pairs.withColumn("g", F.monotonically_increasing_id()), "suffix-compared")
+    low, high = F.col("ps")[0], F.array_max("ps") + length
+    left = pairs.select("s", "g", F.lit(0).alias("side"), low.alias("lo"), high.alias("hi"), "ps", "shift")
+    right = pairs.select(F.col("s2").alias("s"), "g", F.lit(1).alias("side"), (low + F.col("shift")).alias("lo"), (high + F.col("shift")).alias("hi"), F.lit(None).cast("array<int>").alias("ps"), "shift")
+    asked = left.unionByName(right).groupBy("s").agg(F.collect_list(F.struct("g", "side", "lo", "hi", "ps", "shift")).alias("asked"))  # bounded by the strip
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, data, asked in zip(*(batch.column(c).to_pylist() for c in ("s", "data", "asked")), strict=True):
+                n = len(asked)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["g"] for x in asked], pa.int64()), pa.array([x["side"] for x in asked], pa.int32()), pa.array([s] * n, pa.int64()), pa.array([data[x["lo"] : x["hi"]] for x in asked], pa.binary()),
+                     pa.array([x["ps"] for x in asked], pa.list_(pa.int32())), pa.array([x["shift"] for x in asked], pa.int32())],
+                    ["g", "side", "s", "bytes", "ps", "shift"],
+                )
+
+    parts = strips.select("s", "data").join(asked, "s").mapInArrow(cut_out, "g bigint, side int, s bigint, bytes binary, ps array<int>, shift int")
+    faced = parts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("side", "s", "bytes", "ps", "shift"))).alias("two"))  # two rows
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours in sorted order; of a run that goes on in the next batch only its last row is held."""
-        last = None
+        """s, p of both of each pair whose first `length` bytes are the same."""
+        for batch in batches:
+            s, p = [], []
+            for a, b in batch.column("two").to_pylist():
+                at = np.array(a["ps"], np.int64)
+                x, y = (np.frombuffer(v["bytes"], np.uint8) for v in (a, b))
+                n = min(len(x), len(y))
+                differ = np.append(np.flatnonzero(x[:n] != y[:n]), n)
+                begin = at - at[0]
+                same = at[differ[np.searchsorted(differ, begin)] - begin >= length]
+                s += [a["s"]] * len(same) + [b["s"]] * len(same)
+                p += [*same.tolist(), *(same + a["shift"]).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(p, pa.int32())], ["s", "p"])
+
+    equal = faced.select("two").mapInArrow(compare, "s bigint, p int").groupBy("s").agg(F.collect_set("p").alias("ps"))
+
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """cls, ds: for each class the distances from its anchor at which repeated strings begin."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(c).to_numpy() for c in ("name", "d", "print", "cls")]
-            if last is not None:
-                columns = [np.concatenate([x, c]) for x, c in zip(last, columns, strict=True)]
-            same = np.ones(len(columns[0]) - 1, bool)
-            for c in columns[:3]:
-                same &= c[1:] == c[:-1]
-            repeated = np.r_[False, same] | np.r_[same, False]
-            last = [c[-1:] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[3][repeated]), pa.array(columns[1][repeated])], ["cls", "d"])
-
-    keys = ["name", "d", "print"]
-    remaining = beside.mapInArrow(starts, "name bigint, d int, print bigint, cls bigint").repartition(*keys).sortWithinPartitions(*keys)
-    hits = remaining.mapInArrow(compare, "cls bigint, d int").distinct().groupBy("cls").agg(F.collect_list("d").alias("ds"))  # 128 at most
+            rows = []
+            for classes, ps in zip(batch.column("classes").to_pylist(), batch.column("ps").to_pylist(), strict=True):
+                at = np.sort(np.array(ps, np.int64))
+                for c in classes:
+                    inside = at[np.searchsorted(at, c["lo"]) : np.searchsorted(at, c["hi"], side="right")]
+                    if len(inside):
+                        rows.append((c["cls"], (c["a"] - inside).tolist()))
+            columns = zip(*rows, strict=True) if rows else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.list_(pa.int32())), strict=True)], ["cls", "ds"])
+
+    hits = strips.select("s", "classes").join(equal, "s").select("classes", "ps").mapInArrow(by_class, "cls bigint, ds array<int>")
     hits = hits.join(classes.select("cls", "one.key"), "cls").groupBy("key").agg(F.collect_list(F.struct("cls", "ds")).alias("hits"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, sampled, hit in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "sampled", "hits")), strict=True):
+            for key, key2, text, sampled, hit in zip(*(batch.column(c).to_pylist() for c in ("key", "key2", "text", "sampled", "hits")), strict=True):
                 data = text.encode()
                 known = {h["cls"]: h["ds"] for h in hit or ()}
                 covers = []
-                for s in sampled:
+                for s in _own(data, sampled, length):
                     if s["sure"]:
                         covers.append((s["lo"], s["hi"] + length))
                     else:
-                        covers += [(s["a"] - d, s["a"] - d + length) for d in sorted(known.get(s["cls"], ()), reverse=True)]
+                        covers += [(s["a"] - d, s["a"] - d + length) for d in known.get(s["cls"], ())]
                 spans = merged(sorted(covers))
-                rows.append((key, sum(e - b for b, e in spans), [[b, e] for b, e in spans], without(data, spans)))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_removed", "spans", "kept"])
+                rows.append((key, key2, sum(e - b for b, e in spans), [[b, e] for b, e in spans], without(data, spans)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "key2", "n_removed", "spans", "kept"])
 
-    done = texts.join(hits, "key", "left").mapInArrow(cut, "key bigint, n_removed bigint, spans array<array<bigint>>, kept binary").where("n_removed > 0")
+    done = texts.join(hits, "key", "left").mapInArrow(cut, "key bigint, key2 bigint, n_removed bigint, spans array<array<bigint>>, kept binary").where("n_removed > 0")
     return source, stored(done, "suffix-cut")
 
 
-def _open(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, cls, a, lo, hi) for each text that has classes to be ranked."""
-    for text, sampled in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist(), strict=True):
-        rows = [(s["cls"], s["a"], s["lo"], s["hi"]) for s in sampled if s["cls"] is not None]
-        if rows:
-            cls, a, lo, hi = np.array(rows, np.int64).T
-            yield np.frombuffer(text.encode(), np.uint8), cls.copy(), a, lo, hi
+def _own(data: bytes, sampled: list[dict], length: int) -> list[dict]:
+    """The entries that hold in this text: two texts whose 64-bit keys agree have each other's beside their own."""
+    prints = Prints(np.frombuffer(data, np.uint8))
+    inside = [e for e in sampled if e["hi"] + length <= len(data)]
+    if not inside:
+        return []
+    a, lo, hi, core, u = np.array([(e["a"], e["lo"], e["hi"], e["core"], e["u"]) for e in inside], np.int64).T
+    size = length - WINDOW + 1
+    holds = (prints.of(a, a + size).view(np.int64) == core) & (combine(prints.of(lo, hi + length), (a - lo).astype(np.uint64)).view(np.int64) == u)
+    return [e for e, ok in zip(inside, holds.tolist(), strict=True) if ok]
 
 
 def merged(covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,14 +329,14 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def deduplicated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_removed, spans, kept (binary), as `repeats` defines them."""
     source, cut = repeats(docs, length, id_col, text_col)
-    out = source.join(cut, "key", "left")
+    out = source.join(cut, ["key", "key2"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
 
 
 def digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256. Texts that lose nothing are not shuffled."""
     source, cut = repeats(docs, length, id_col, text_col)
-    whole = source.select("key", F.col("id").alias(id_col), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    less = cut.select("key", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha"))
+    whole = source.select("key", "key2", F.col("id").alias(id_col), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    less = cut.select("key", "key2", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha"))
     zero = F.lit(0).cast("bigint")
-    return whole.join(less, "key", "left").select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+    return whole.join(less, ["key", "key2"], "left").select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
