@@ -117,6 +117,66 @@ SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN c USING (doc_id)
 """
 
+def _marked(pattern: str, kind: str, kept: str) -> str:
+    """doc_id, kind, start, end of the matches of a pattern: each is marked, and the text is cut at the marks."""
+    return f"""
+SELECT doc_id, '{kind}' AS kind, pos AS "start", pos + length(m) AS "end" FROM (
+  SELECT doc_id, m, coalesce(sum(length(m) + length(rest)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, i FROM (
+    SELECT doc_id, i, CASE WHEN i = 1 THEN '' ELSE split_part(piece, chr(57345), 1) END AS m, CASE WHEN i = 1 THEN piece ELSE split_part(piece, chr(57345), 2) END AS rest FROM (
+      SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
+        SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)) AS p FROM documents))))
+WHERE i > 1 AND {kept}"""
+
+
+def _either_case(pattern: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
+_ASSIGN = "(?:" + _either_case("password|passwd|secret|token|api") + "_?" + _either_case("key") + r""")["'']?\x20*[:=]\x20*["'']?"""
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+
+OP7_SQL = f"""
+WITH s AS ({_marked(_ASSIGN + _VALUE, "assign", f"length(regexp_extract(m, '^{_ASSIGN}({_VALUE})', 1)) >= 12")}
+UNION ALL {_marked("AKIA[A-Z0-9]+", "access", "length(m) >= 18")}
+UNION ALL {_marked("[0-9a-f]+", "hex", "length(m) >= 16")}
+UNION ALL {_marked("-----BEGIN [A-Z ]*PRIVATE KEY-----", "private_key", "true")}
+UNION ALL {_marked(r"Bearer\x20+[A-Za-z0-9._~+/-]+", "bearer", r"length(regexp_extract(m, '^Bearer\x20+([A-Za-z0-9._~+/-]+)', 1)) >= 20")}),
+o AS (SELECT *, kind || ':' || "start" || ':' || "end" AS span, list_position(['assign', 'access', 'hex', 'private_key', 'bearer'], kind) AS place FROM s),
+c AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY "start", place) FILTER (place <= 3) AS base, string_agg(span, ',' ORDER BY "start", place) AS spans FROM o GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN c ON d.doc_id IS NOT DISTINCT FROM c.doc_id
+"""
+
+#: All strings of 400 bytes, in hexadecimal digits.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+r AS (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+i AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 400, true) AS fresh FROM r),
+j AS (SELECT doc_id, p, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM i),
+s AS (SELECT doc_id, island, min(p) AS b, max(p) + 400 AS e FROM j GROUP BY doc_id, island),
+g AS (SELECT s.doc_id, island, b, e, substr(h, 2 * coalesce(lag(e) OVER q, 0) + 1, 2 * (b - coalesce(lag(e) OVER q, 0))) AS before, lead(b) OVER q IS NULL AS last, substr(h, 2 * e + 1) AS after
+      FROM s JOIN d USING (doc_id) WINDOW q AS (PARTITION BY s.doc_id ORDER BY island)),
+c AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(before || CASE WHEN last THEN after ELSE '' END, '' ORDER BY island) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
+
+#: Every pair of documents that share an n-gram, and the smallest id that is reached over links.
+OP3_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS grams FROM t),
+e AS MATERIALIZED (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE common >= 0.8 * (na + nb - common) - 1e-9),
+c(doc_id, reached) AS (SELECT a, b FROM l UNION SELECT c.doc_id, l.b FROM c JOIN l ON c.reached = l.a),
+k AS (SELECT doc_id, min(reached) AS reached FROM c GROUP BY doc_id),
+n AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT g.doc_id, least(g.doc_id, coalesce(reached, g.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, len(grams)::BIGINT AS n_ngrams
+FROM g LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256,
@@ -152,4 +212,4 @@ FROM i JOIN o USING (source, block)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sentence_spans": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op7_secrets": OP7_SQL, "op9_suffix_array": OP9_SQL, "op5_sentence_spans": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
