@@ -1,12 +1,12 @@
 """Media columns of MPEG audio (MPEG-1 Layer III): writing, resynchronising, reading.
 
 `wrap` puts bytes into a valid stream: an ID3v2 tag, a Xing frame with the counts of
-frames and bytes and the seek table of a variable-bitrate file, then frames whose
-main data are silent and whose ancillary data carry 192 bytes each, with checksums.
-`read` takes any stream: it skips tags, searches for frame headers and believes one
-only if the next header stands where it says, parses the Xing or VBRI table, verifies
-the checksums of Layer III (those of Layers I and II are counted as unverified), and
-gives exact durations and the offset of every frame.
+frames and bytes and the seek table, then frames of variable bitrate whose main data are
+silent and whose ancillary data carry 192 bytes each, with checksums. `read` takes any
+stream: it skips tags, searches for frame headers and believes one only if the next
+header stands where it says, parses the Xing or VBRI table, verifies the checksums of
+Layers I and III (those of Layer II, whose extent its allocation tables decide, are
+counted as unverified), and gives exact durations and the offset of every frame.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +34,10 @@ BITRATES = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
-#: 48 kHz, mono, with checksum; 80 kbit/s makes frames of 240 bytes, 96 kbit/s of 288.
-_HEADER = bytes([0xFF, 0xFA, 0x64, 0xC4])
+#: 48 kHz, mono, with checksum; 80 kbit/s makes frames of 240 bytes, 96 kbit/s of 288. The
+#: larger frames carry what is not plain ASCII.
+_HEADER, _LARGER = bytes([0xFF, 0xFA, 0x64, 0xC4]), bytes([0xFF, 0xFA, 0x74, 0xC4])
 _SIDE = bytes(17)
-_LEAD = 4 + 2 + len(_SIDE)
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,15 @@ class Header:
     mono: bool
     size: int
     samples: int
+    #: Subbands whose channels are allocated apart (Layer I; all 32 unless joint stereo).
+    bound: int = 32
+
+    @property
+    def guarded(self) -> int:
+        """Bytes after the checksum that it covers (Layer I: the bit allocation, 4 bits a subband and channel)."""
+        if self.layer == 1:
+            return 16 if self.mono else (self.bound + 32) // 2
+        return self.side
 
     @property
     def side(self) -> int:
@@ -82,7 +92,8 @@ def _parse_header(four: bytes) -> Header | None:
     padding = four[2] >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     size = (12 * kbps * 1000 // hz + padding) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + padding
-    return Header(version, layer, not four[1] & 1, kbps, hz, four[3] >> 6 == 3, size, samples)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbps, hz, four[3] >> 6 == 3, size, samples, bound)
 
 
 def _crc_table() -> list[int]:
@@ -100,7 +111,7 @@ _checksums: dict[bytes, int] = {}
 
 
 def checksum(data: bytes) -> int:
-    """CRC-16 of the format, over the last two header bytes and the side information."""
+    """CRC-16 of the format, over the last two header bytes and what else it covers."""
     known = _checksums.get(data)
     if known is None:
         known = 0xFFFF
@@ -119,18 +130,26 @@ def wrap(payload: bytes) -> bytes:
     """A stream that carries the payload; its length must be a positive multiple of 192."""
     if not payload or len(payload) % UNIT:
         raise ValueError("the payload's length must be a positive multiple of 192")
-    size = header(_HEADER).size
-    lead = _HEADER + checksum(_HEADER[2:] + _SIDE).to_bytes(2, "big") + _SIDE
-    tail = bytes(size - _LEAD - UNIT)
-    frames = len(payload) // UNIT
+    parts = [payload[i : i + UNIT] for i in range(0, len(payload), UNIT)]
+    frames = [_SMALL[0] + p + _SMALL[1] if p.isascii() else _LARGE[0] + p + _LARGE[1] for p in parts]
     text = b"\x03" + str(len(payload)).encode()
     tag = b"TLEN" + _synchsafe(len(text)) + b"\0\0" + text
     tag = b"ID3\x04\0\0" + _synchsafe(len(tag)) + tag
-    total = (frames + 1) * size
-    toc = bytes(min(255, (size + size * (frames * i // 100)) * 256 // total) for i in range(100))
-    table = b"Xing" + struct.pack(">III", 7, frames, total) + toc
-    xing = lead + table + bytes(size - len(lead) - len(table))
-    return tag + xing + b"".join([lead + payload[i : i + UNIT] + tail for i in range(0, len(payload), UNIT)])
+    size = header(_HEADER).size
+    ends = list(accumulate(map(len, frames), initial=size))  # ends[k]: where frame k begins, from the Xing frame on
+    toc = bytes(min(255, ends[len(frames) * i // 100] * 256 // ends[-1]) for i in range(100))
+    table = b"Xing" + struct.pack(">III", 7, len(frames), ends[-1]) + toc
+    xing = _SMALL[0] + table
+    return b"".join([tag, xing, bytes(size - len(xing)), *frames])
+
+
+def _around(four: bytes) -> tuple[bytes, bytes]:
+    """What stands before and after the carried bytes in a frame with this header."""
+    lead = four + checksum(four[2:] + _SIDE).to_bytes(2, "big") + _SIDE
+    return lead, bytes(header(four).size - len(lead) - UNIT)
+
+
+_SMALL, _LARGE = _around(_HEADER), _around(_LARGER)
 
 
 @dataclass
@@ -139,7 +158,7 @@ class Stream:
     samples: int = 0
     rate: int = 0
     bad_checksums: int = 0
-    #: Frames of Layer I or II that have a checksum, which is not verified.
+    #: Frames of Layer II that have a checksum, which is not verified.
     unverified: int = 0
     skipped: int = 0
     tags: list[str] = field(default_factory=list)
@@ -178,9 +197,9 @@ def read(data: bytes, with_data: bool = True) -> Stream:
         start, body = at, at + 4
         if h.checked:
             body += 2
-            if h.layer == 3 and checksum(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+            if h.layer != 2 and checksum(data[at + 2 : at + 4] + data[body : body + h.guarded]) != int.from_bytes(data[at + 4 : at + 6], "big"):
                 out.bad_checksums += 1
-            out.unverified += h.layer != 3
+            out.unverified += h.layer == 2
         body += h.side if h.layer == 3 else 0
         at += h.size
         if not out.frames and out.table is None and (table := _table(data, start, body)):
@@ -277,8 +296,8 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     duration_samples / sample_rate is the exact duration; frame_offsets has the byte offset of
     every frame, in order. seek_table is the Xing or VBRI table's as in `Stream.seek`, with
-    seek_frames frames an entry for VBRI (else 0). bad_checksums counts Layer III frames only;
-    unverified_checksums are the frames of Layers I and II that have one.
+    seek_frames frames an entry for VBRI (else 0). bad_checksums counts frames of Layers I and III;
+    unverified_checksums are the frames of Layer II that have one.
     """
     kind = media.schema[id_col].dataType.simpleString()
     out_schema = (

@@ -33,6 +33,8 @@ BLOCK = 512
 #: Ids in a segment; a longer document has a segment of its own.
 SEGMENT = 1 << 16
 MOST_WORDS = 320_000
+#: Ranges of ids; their borders, so many numbers at most, come to the driver.
+MOST_BUCKETS = 100_000
 
 
 def pack(ids: np.ndarray, doc_starts: np.ndarray) -> bytes:
@@ -140,8 +142,9 @@ class WordEncoder(dict):
         lines = [" ".join(cores[i : i + 50]) for i in range(0, len(cores), 50)]
         ids = [i for e in self.library.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids]
         ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(ends) != len(cores):
-            raise ValueError("a word of letters has to end with one marked token")
+        if len(ends) != len(cores):  # some word does not end with one marked token
+            self.update((w, self.whole(w)) for w in cores)
+            return
         data, size = np.array(ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
         self.update(zip(cores, [data[a * size : b * size] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
@@ -209,8 +212,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, id_
 
     The files are Parquet with one segment a row: bucket, segment, doc_ids, n_tokens,
     data. Order: buckets, then segments, then documents in a segment. Buckets are
-    ranges of ids with about docs_a_bucket documents, from quantiles of the id column alone;
-    rows of one id stay together. A null or empty text is the end id alone; rows with a
+    ranges of ids with about docs_a_bucket documents, from quantiles of the id column alone
+    (with more than MOST_BUCKETS times as many documents the ranges grow; a range is sorted by
+    Spark, which spills, and only one segment is held at a time); rows of one id stay together. A null or empty text is the end id alone; rows with a
     null id come first; rows with equal ids are ordered by their encoded ids; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -218,8 +222,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, id_
     size_of = np.dtype(kind).itemsize
     ids = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"))
     rows = ids.count()
-    n = max(1, min(10_000, rows // docs_a_bucket))
-    borders = sorted({b for (b,) in ids.select(F.explode(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10_000))).collect()}) if rows else []
+    n = max(1, min(MOST_BUCKETS, rows // docs_a_bucket))
+    borders = sorted({b for (b,) in ids.select(F.explode(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n)))).collect()}) if rows else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer, kind).encode

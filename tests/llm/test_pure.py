@@ -99,6 +99,13 @@ def test_word_encoder_equals_the_library():
         assert got == encoder.whole(t), t
 
 
+def test_words_without_a_marked_end_are_encoded_whole():
+    encoder = token_codes.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), "<u4")
+    encoder.last[:] = False
+    texts = ["many words, none of them ends marked.", "word"]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+
+
 @pytest.mark.parametrize("most", [200, 70_000, 2**32 - 1])
 def test_segments_round_trip_and_random_access(most):
     rng = np.random.default_rng(1)
@@ -113,11 +120,16 @@ def test_segments_round_trip_and_random_access(most):
 
 
 def test_mpeg_round_trip_tags_and_resynchronisation():
-    data = mpeg_audio.padded("Some text, é. ".encode() * 80)
+    data = mpeg_audio.padded(b"Plain text. " * 100 + "Some text, é. ".encode() * 80 + b"Plain again. " * 50)
     media = mpeg_audio.wrap(data)
     s = mpeg_audio.read(media)
     assert mpeg_audio.payload_of(s) == data and s.bad_checksums == 0 and s.skipped == 0
-    assert s.table == ("Xing", s.frames, (s.frames + 1) * 240) and s.tags == ["ID3v2.4"]
+    large = sum(not data[i : i + 192].isascii() for i in range(0, len(data), 192))
+    assert 0 < large and s.kbps == {80: s.frames - large, 96: large}
+    total = 240 + 240 * (s.frames - large) + 288 * large
+    assert s.table == ("Xing", s.frames, total) and s.tags == ["ID3v2.4"] and media.endswith(media[-total:]) and len(s.seek) == 100
+    first = len(media) - total  # an entry of the seek table is the place of its percent of the frames, in 256ths
+    assert all(0 <= s.offsets[s.frames * i // 100] - first - s.seek[i] * total / 256 < total / 256 + 1 for i in range(100))
     assert s.seconds == (s.frames * 1152, 48000) and all(media[o] == 0xFF for o in s.offsets)
     junk = mpeg_audio.read(b"\xff\xfbjunk" + media[:500] + b"\x00\xff\xe0" * 5 + media[500:] + b"TAG" + bytes(125))
     assert junk.skipped > 0 and "ID3v1" in junk.tags and junk.frames >= s.frames - 2
@@ -125,6 +137,15 @@ def test_mpeg_round_trip_tags_and_resynchronisation():
     broken[s.offsets[1] + 8] ^= 1
     assert mpeg_audio.read(bytes(broken)).bad_checksums == 1
     assert mpeg_audio.read(b"").frames == 0
+    for mode, guarded in ((0xC0, 16), (0x00, 32), (0x40, 18), (0x70, 24)):  # Layer I: mono, stereo, joint stereo with two bounds
+        four = bytes([0xFF, 0xFE, 0x44, mode])
+        body = bytes(range(1, guarded + 1))
+        good = four + mpeg_audio.checksum(four[2:] + body).to_bytes(2, "big") + body
+        good += bytes(mpeg_audio.header(four).size - len(good))
+        bad = bytearray(good)
+        bad[6 + guarded - 1] ^= 4
+        found = mpeg_audio.read(good + bytes(bad) + good)
+        assert (found.frames, found.bad_checksums, found.unverified) == (3, 1, 0)
     with pytest.raises(ValueError):
         mpeg_audio.wrap(b"x")
 
