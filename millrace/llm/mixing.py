@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from millrace.workspace import stored
 
-#: Sources are few: their shares, a row each, are brought to the driver up to this number.
+#: For a target entropy the sources' shares, a number each, are brought to the driver up to this number.
 MOST_SOURCES = 100_000
 #: A source has so many blocks at most, and about so many documents in each until then.
 MOST_BLOCKS, BLOCK = 4096, 256
@@ -75,6 +75,13 @@ def find_exponent(shares: list[float], target_entropy: float | None = None, most
     return round(high, 6) if target_entropy is not None else math.ceil(round(high * 1e6, 3)) / 1e6
 
 
+def _shares(sizes: DataFrame) -> list[float]:
+    totals = [r.all_tokens for r in sizes.select("all_tokens").limit(MOST_SOURCES + 1).collect()]
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    return [t / sum(totals) for t in totals]
+
+
 def plan(docs: DataFrame, most_repeats: float | None = 2.0, target_entropy: float | None = None, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, source, tokens, weight, block, copies, mix_position, mix_step, and row_col if given.
 
@@ -88,26 +95,33 @@ def plan(docs: DataFrame, most_repeats: float | None = 2.0, target_entropy: floa
     """
     if target_entropy is not None:
         most_repeats = None
-    spark = docs.sparkSession
     source = F.coalesce(F.col(f"`{source_col}`"), F.lit(NO_SOURCE))
     own = F.col(f"`{row_col}`") if row_col else F.lit(0)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), source.alias("source"), tokens(F.col(f"`{text_col}`")).alias("tokens"), own.alias("_own")).withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), "source", F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    sizes = rows.groupBy("source").agg(F.sum("tokens").alias("all_tokens"), F.count(F.lit(1)).alias("n")).orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    total = sum(r.all_tokens for r in sizes)
-    shares = [r.all_tokens / total if total else 0.0 for r in sizes]
-    exponent = find_exponent(shares, target_entropy, most_repeats)
-    largest = max((r.all_tokens for r in sizes), default=0)
-    limits = [math.floor(most_repeats * r.all_tokens) if most_repeats is not None else math.inf for r in sizes]
-    budgets = [min(m, math.floor((largest / r.all_tokens) ** (1 - exponent) * r.all_tokens + 0.5)) if r.all_tokens else 0 for r, m in zip(sizes, limits, strict=True)]
-    spent = sum(budgets)
-    table = [
-        (r.source, r.all_tokens, b, round(b / spent, 6) if spent else 0.0, b // r.all_tokens if r.all_tokens else 1, b % r.all_tokens if r.all_tokens else 0, min(MOST_BLOCKS, -(-r.n // BLOCK)))
-        for r, b in zip(sizes, budgets, strict=True)
-    ]
-    targets = spark.createDataFrame(table, "source string, all_tokens bigint, budget bigint, weight double, passes bigint, rest bigint, blocks bigint")
-    dealt = rows.join(F.broadcast(targets), "source").withColumn("block", F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint") % F.col("blocks"))
+    sizes = stored(rows.groupBy("source").agg(F.sum("tokens").alias("all_tokens"), F.count(F.lit(1)).alias("n")), "mixing-sources")
+    ends = sizes.agg(F.max("all_tokens").alias("largest"), F.min(F.when(F.col("all_tokens") > 0, F.col("all_tokens"))).alias("smallest")).first()
+    exponent = 0.0
+    if ends.smallest and target_entropy is not None:
+        exponent = find_exponent(_shares(sizes), target_entropy)
+    elif ends.smallest:  # the repetition depends on the largest and the smallest source alone
+        both = ends.largest + ends.smallest
+        exponent = find_exponent([ends.largest / both, ends.smallest / both], None, most_repeats)
+    t = F.col("all_tokens")
+    budget = F.floor(F.pow(F.lit(float(ends.largest or 1)) / t, F.lit(1 - exponent)) * t + 0.5)
+    if most_repeats is not None:
+        budget = F.least(budget, F.floor(t * float(most_repeats)))
+    budgets = sizes.withColumn("budget", F.when(t > 0, budget).otherwise(0).cast("bigint"))
+    spent = budgets.agg(F.sum("budget")).first()[0] or 1
+    targets = budgets.select(
+        "source",
+        "all_tokens",
+        "budget",
+        F.round(F.col("budget") / spent, 6).alias("weight"),
+        F.when(t > 0, F.floor(F.col("budget") / t)).otherwise(1).alias("passes"),
+        F.when(t > 0, F.col("budget") % t).otherwise(0).alias("rest"),
+        F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / BLOCK)).alias("blocks"),
+    )
+    dealt = rows.join(targets, "source").withColumn("block", F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint") % F.col("blocks"))
     earlier = Window.partitionBy("source", "block").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
     inside = dealt.withColumn("inside", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
     sums = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))

@@ -282,6 +282,25 @@ def brute_repeats(length):
     return out
 
 
+@pytest.mark.parametrize("depth", [1, 3, 40])
+def test_suffix_ranks(spark, depth):
+    """The order of all suffixes in their first symbols, as sorting gives it."""
+    rng = random.Random(depth)
+    rows = [[rng.randint(1, 2 if k % 2 else 5) for _ in range(rng.randint(1, 30))] for k in range(12)] + [[1] * 25, [1] * 25, [2, 1] * 15]
+    symbols = spark.createDataFrame([(s, i, x) for s, r in enumerate(rows) for i, x in enumerate(r)], "s bigint, i int, sym bigint")
+    rank = {(r.s, r.i): r["rank"] for r in suffix_dedup.suffix_ranks(symbols, depth).collect()}
+    assert len(rank) == sum(map(len, rows))
+    places = sorted(rank, key=lambda p: rows[p[0]][p[1] :][:depth])
+    for a, b in zip(places, places[1:], strict=False):
+        x, y = (rows[s][i:] for s, i in (a, b))
+        if x[:depth] != y[:depth]:
+            assert rank[a] < rank[b]
+        elif rank[a] == rank[b]:
+            assert x[:depth] == y[:depth]
+    byrank = [p[1] for p in sorted((r, rows[s][i:]) for (s, i), r in rank.items())]
+    assert [x[:depth] for x in byrank] == sorted(x[:depth] for x in byrank)
+
+
 @pytest.mark.parametrize("length", [256, 400])
 def test_suffix_dedup(docs, empty, length):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, length).collect()]
@@ -306,6 +325,9 @@ def test_mixing(docs, empty):
         assert read[s] <= 3 * size[s] + most
         assert all(0 <= r.mix_position + (r.copies - 1) * r.mix_step <= 1 + 1e-9 for r in rows)
     assert mixing.NO_SOURCE in size and sum(weight.values()) == pytest.approx(1, abs=1e-4)
+    by_entropy = mixing.plan(docs, target_entropy=1.2).collect()
+    shares = {r.source: r.weight for r in by_entropy}
+    assert len(by_entropy) == len(ROWS) and mixing.entropy(list(shares.values())) == pytest.approx(1.2, abs=0.01)
     out = mixing.mixed(docs, 3.0)
     assert out.columns == docs.columns
     order = [r.doc_id for r in out.collect()]

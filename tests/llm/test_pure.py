@@ -211,6 +211,24 @@ def test_anchors_of_long_texts_are_found_in_blocks(monkeypatch):
         assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
+def test_phrases_follow_the_content_and_none_is_a_prefix_of_another():
+    rng = np.random.default_rng(7)
+    shared = rng.integers(97, 100, 2000).astype(np.uint8)
+    shared[700:1100] = 97
+    found, rests = [], set()
+    for shift in (0, 53):
+        data = np.concatenate([rng.integers(97, 123, shift).astype(np.uint8), shared])
+        starts = suffix_dedup.phrase_starts(data)
+        found.append({int(p) - shift for p in starts if p >= shift + suffix_dedup.TRIGGER})
+        parts = suffix_dedup.phrases(data.tobytes(), starts)
+        assert b"".join([p[: len(p) - suffix_dedup.TRIGGER] for p in parts[:-1]] + parts[-1:]) == data.tobytes()
+        rests |= {p[i:] for p in parts[:-1] for i in range(len(p) - suffix_dedup.TRIGGER)}
+    assert found[0] - set(range(suffix_dedup.TRIGGER + 1)) == found[1] - set(range(suffix_dedup.TRIGGER + 1)) and len(found[0]) > 20
+    ordered = sorted(rests)
+    assert not any(b.startswith(a) for a, b in zip(ordered, ordered[1:], strict=False))
+    assert suffix_dedup.phrase_starts(np.zeros(10, np.uint8)).tolist() == [0]
+
+
 def test_spans_of_bytes():
     assert suffix_dedup.merged([(0, 3), (2, 5), (7, 9)]) == [(0, 5), (7, 9)]
     assert suffix_dedup.without(b"0123456789", [(0, 5), (7, 9)]) == b"569"
