@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from millrace.llm.anchors import GRAM, WINDOW, Prints, combine, minimizers
+from millrace.llm.anchors import WINDOW, Prints, combine, minimizers
 from millrace.operators.sharding import running_sums
 from millrace.workspace import stored
 
 SLICE = 1_000_000
-#: One place in so many begins a phrase.
-PHRASE = 32
+#: A phrase begins where a fingerprint of 8 bytes is smaller than those at the next 31 places. So
+#: 39 bytes, the trigger, decide it, few phrases begin close together, and none where a text repeats itself at once.
+SHORT, AHEAD = 8, 31
+TRIGGER = SHORT + AHEAD
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -79,13 +81,13 @@ def suffix_ranks(symbols: DataFrame, depth: int) -> DataFrame:
     """
     if depth <= 1:
         sizes = symbols.groupBy("sym").agg(F.count(F.lit(1)).alias("n"))
-        return symbols.join(stored(running_sums(sizes, ["sym"], {"rank": "n"}), "suffix-first").select("sym", "rank"), "sym").select("s", "i", "rank")
+        return symbols.join(running_sums(sizes, ["sym"], {"rank": "n"}).select("sym", "rank"), "sym").select("s", "i", "rank")
     ahead = Window.partitionBy("s").orderBy("i")
     after = lambda c, k: F.coalesce(F.lead(c, k).over(ahead), F.lit(0).cast("bigint"))
     triples = stored(symbols.select("s", "i", F.col("sym").alias("t0"), after("sym", 1).alias("t1"), after("sym", 2).alias("t2")), "suffix-triples")
     keys, place = ["t0", "t1", "t2"], F.col("i") % 3
     sampled = triples.where(place != 0)
-    names = stored(running_sums(sampled.select(keys).distinct(), keys, {"name": None}), "suffix-names")
+    names = running_sums(sampled.select(keys).distinct(), keys, {"name": None})
     reduced = sampled.join(names, keys).select((F.col("s") * 2 + place - 1).alias("s"), F.floor(F.col("i") / 3).cast("int").alias("i"), (F.col("name") + 1).alias("sym"))
     ranks = suffix_ranks(reduced, -(-depth // 3))
     ranks = ranks.select(F.shiftright("s", 1).alias("s"), (F.col("i") * 3 + 1 + F.col("s") % 2).cast("int").alias("i"), "rank")
@@ -95,7 +97,6 @@ def suffix_ranks(symbols: DataFrame, depth: int) -> DataFrame:
     sums = lambda k: [F.count_if(place == m).cast("bigint").alias(f"n{m}") for m in (0, k)]
     one = running_sums(known.where(place != 2).groupBy("t0", "r1").agg(*sums(1)), ["t0", "r1"], {"a0": "n0", "a1": "n1"}).drop("n0", "n1")
     two = running_sums(known.where(place != 1).groupBy("t0", "t1", "r2").agg(*sums(2)), ["t0", "t1", "r2"], {"b0": "n0", "b2": "n2"}).drop("n0", "n2")
-    one, two = stored(one, "suffix-merged"), stored(two, "suffix-merged")
     zero = known.where(place == 0).join(one, ["t0", "r1"]).join(two, ["t0", "t1", "r2"]).select("s", "i", (F.col("a0") + F.col("a1") + F.col("b2")).alias("rank"))
     first = known.where(place == 1).join(one, ["t0", "r1"]).select("s", "i", (F.col("rank") + F.col("a0")).alias("rank"))
     second = known.where(place == 2).join(two, ["t0", "t1", "r2"]).select("s", "i", (F.col("rank") + F.col("b0")).alias("rank"))
@@ -103,15 +104,24 @@ def suffix_ranks(symbols: DataFrame, depth: int) -> DataFrame:
 
 
 def phrase_starts(data: np.ndarray) -> np.ndarray:
-    """Where the phrases of a strip begin: at its begin, and at every trigger, which the 16 bytes from there on decide."""
-    at = np.arange(max(0, len(data) - GRAM + 1))
-    found = at[Prints(data).of(at, at + GRAM) % np.uint64(PHRASE) == 0] if len(at) else at
+    """Where the phrases of a strip begin: at its begin, and at every trigger."""
+    n = len(data) - TRIGGER + 1
+    if n <= 0:
+        return np.zeros(1, np.int64)
+    at = np.arange(n + AHEAD)
+    own = Prints(data).of(at, at + SHORT)
+    least, size = own[1:], 1
+    while size < AHEAD:  # the least of the places after each one, of as many as `size`
+        step = min(size, AHEAD - size)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        size += step
+    found = np.flatnonzero(own[:n] < least[:n])
     return np.concatenate([[0], found[found > 0]]).astype(np.int64)
 
 
 def phrases(data: bytes, starts: np.ndarray) -> list[bytes]:
     """Each phrase with the trigger that ends it."""
-    ends = np.append(starts[1:] + GRAM, len(data)).tolist()
+    ends = np.append(starts[1:] + TRIGGER, len(data)).tolist()
     return [data[b:e] for b, e in zip(starts.tolist(), ends, strict=True)]
 
 
@@ -170,27 +180,28 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
 
     parsed = strips.select("s", "data").mapInArrow(parse, "s bigint, i int, phrase binary")
     depth = strips.agg(F.max("most")).first()[0] or 1
-    numbers = stored(running_sums(parsed.select("phrase").distinct(), ["phrase"], {"name": None}), "suffix-phrases")
+    numbers = running_sums(parsed.select("phrase").distinct(), ["phrase"], {"name": None})
     symbols = stored(parsed.join(numbers, "phrase").select("s", "i", (F.col("name") + 1).alias("sym")), "suffix-symbols")
     ranks = suffix_ranks(symbols, depth).groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "rank"))), lambda x: x["rank"]).alias("ranks"))
     ranked = stored(strips.join(ranks, "s"), "suffix-ranked")
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each place at which a string of a class begins: what is left of its phrase, and the rank after it (0: none)."""
+        """Each place at which a string of a class begins: what is left of its phrase (of `length` bytes), and the rank after it (0: none)."""
         for batch in batches:
             for s, data, classes, ranks in zip(*(batch.column(c).to_pylist() for c in ("s", "data", "classes", "ranks")), strict=True):
                 begin = phrase_starts(np.frombuffer(data, np.uint8))
-                end = np.append(begin[1:] + GRAM, len(data))
+                end = np.append(begin[1:] + TRIGGER, len(data))
                 after = np.append(np.array(ranks[1:], np.int64) + 1, 0)
                 p = np.concatenate([np.arange(c["lo"], c["hi"] + 1) for c in classes])
                 k = np.searchsorted(begin, p, side="right") - 1
                 for x in range(0, len(p), 20_000):
                     q, kq = p[x : x + 20_000], k[x : x + 20_000]
-                    rest = [data[b:e] for b, e in zip(q.tolist(), end[kq].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rest, pa.binary()), pa.array(after[kq]), pa.array(np.full(len(q), s)), pa.array(q.astype(np.int32))], ["rest", "rank", "s", "p"])
+                    whole = end[kq] <= q + length
+                    rest = [data[b:e] for b, e in zip(q.tolist(), np.minimum(end[kq], q + length).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rest, pa.binary()), pa.array(np.where(whole, after[kq], 0)), pa.array(np.full(len(q), s)), pa.array(q.astype(np.int32))], ["rest", "rank", "s", "p"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of neighbours that agree in the rest of their phrase (or in `length` bytes of it).
+        """Pairs of neighbours that agree in the rest of their phrase.
 
         The first and the last row of a partition, too, with its number, as pairs of one.
         """
@@ -208,7 +219,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             for row in zip(*(batch.column(c).to_pylist() for c in ("rest", "s", "p")), strict=True):
                 if last is None:
                     yield rows([(row[1], row[2], row[1], row[2])], 2 * part)
-                elif row[0] == last[0] or row[0][:length] == last[0][:length]:
+                elif row[0] == last[0]:
                     pairs.append((last[1], last[2], row[1], row[2]))
                 last = row
             yield rows(pairs)
