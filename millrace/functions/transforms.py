@@ -96,9 +96,14 @@ def lookup_in(df: DataFrame, column: str, vocabulary: DataFrame, name: str = "id
     return joined.withColumn(name, found).drop("_value", "_id", "_size")
 
 
-def terms_of(spark: SparkSession, path: str) -> list[str]:
-    """A vocabulary file: one term a line, white space around it left out; a repeated term raises."""
-    terms = [r.value.strip() for r in spark.read.text(path, wholetext=False).collect()]
+def terms_of(spark: SparkSession, path: str, most: int = 10_000) -> list[str]:
+    """A vocabulary file: one term a line, white space around it left out; a repeated term raises.
+
+    One of more than `most` terms raises too: read it as a table, for `lookup_in`.
+    """
+    terms = [r.value.strip() for r in spark.read.text(path).limit(most + 1).collect()]
+    if len(terms) > most:
+        raise ValueError(f"more than {most} terms; keep the vocabulary as a table")
     if len(set(terms)) != len(terms):
         raise ValueError("the vocabulary repeats a term")
     return terms
