@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -63,3 +65,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def told_apart(docs: DataFrame, name: str) -> DataFrame:
+    """_row, _doc: the rows of docs, each with a value that no other row has, the same whenever it is read.
+
+    For a table in Parquet files that is the file and the place in it. Anything else is
+    numbered and written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            return docs.select(place.alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+        except AnalysisException:  # no such files
+            pass
+    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), name)
