@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.workspace import stored
+from millrace.workspace import stored, told_apart
 
 #: For a target entropy the sources' shares, a number each, are brought to the driver up to this number.
 MOST_SOURCES = 100_000
@@ -150,7 +150,7 @@ def mixed(docs: DataFrame, most_repeats: float = 2.0, seed: int = 7, id_col: str
     are the files of a table that is written from it.
     """
     spark = docs.sparkSession
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "mixing-rows")
+    rows = told_apart(docs, "mixing-rows")
     light = rows.select("_row", *[F.col("_doc").getField(c).alias(a) for c, a in ((id_col, "id"), (source_col, "source"), (text_col, "text"))])
     placed = plan(light, most_repeats, None, seed, "id", "source", "text", "_row").select("_row", "copies", "mix_position", "mix_step")
     each = rows.join(placed, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import runs, slices, texts_of, whole_groups
 from millrace.llm.components import connected_components
-from millrace.workspace import stored
+from millrace.workspace import stored, told_apart
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -234,18 +234,21 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: floa
     and its own id as class. Rows that repeat an id count as separate rows. Other columns
     are ignored. An empty table gives no rows.
     """
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = _linked(stored(source, "ngram-rows"), threshold, n, tolerance)
+    found = _linked(_source(told_apart(docs, "ngram-rows"), id_col, text_col), threshold, n, tolerance)
     return found.select(F.col("id").alias(id_col), F.col("class.id").alias("class_id"), "n_links", "n_ngrams")
 
 
+def _source(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select(F.col("_row").alias("row"), F.col("_doc").getField(id_col).alias("id"), F.col("_doc").getField(text_col).alias("text"))
+
+
 def _linked(source: DataFrame, threshold: float, n: int, tolerance: float) -> DataFrame:
-    """row, id, class, n_links, n_ngrams of a stored table of row, id, text.
+    """row, id, class, n_links, n_ngrams of a table of row (which tells rows apart), id, text.
 
     class: the row (struct of missing, id, row) that stands for the class, the one with the
     smallest id; null ids come after all others, equal ids in the order of row.
     """
-    kind = source.schema["id"].dataType.simpleString()
+    kind, row_kind = (source.schema[c].dataType.simpleString() for c in ("id", "row"))
     own = F.struct(F.col("id").isNull().alias("missing"), "id", "row")
     least = least_matches(threshold, tolerance)
 
@@ -269,7 +272,7 @@ def _linked(source: DataFrame, threshold: float, n: int, tolerance: float) -> Da
                     ["row", "id", "f1", "f2", "n_ngrams", "bands", "signature"],
                 )
 
-    signed = stored(source.select("row", "id", "text").mapInArrow(sign, f"row bigint, id {kind}, f1 bigint, f2 bigint, n_ngrams bigint, bands array<bigint>, signature binary"), "ngram-signed")
+    signed = stored(source.select("row", "id", "text").mapInArrow(sign, f"row {row_kind}, id {kind}, f1 bigint, f2 bigint, n_ngrams bigint, bands array<bigint>, signature binary"), "ngram-signed")
     classes = signed.where("n_ngrams > 0").groupBy("f1", "f2").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
 
@@ -349,8 +352,8 @@ def _matrix(column) -> np.ndarray:
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, all columns: the one with the smallest id; null ids come after all others,
-    and of rows that repeat an id in a class one stays. Rows are told apart by a number, never by id."""
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "ngram-rows")
-    source = rows.select(F.col("_row").alias("row"), F.col("_doc").getField(id_col).alias("id"), F.col("_doc").getField(text_col).alias("text"))
+    and of rows that repeat an id in a class one stays. Rows are told apart by their place, never by id."""
+    rows = told_apart(docs, "ngram-rows")
+    source = _source(rows, id_col, text_col)
     gone = _linked(source, threshold, 5, 1e-7).where("row <> class.row").select(F.col("row").alias("_row"))
     return rows.join(gone, "_row", "left_anti").select("_doc.*")
