@@ -153,15 +153,17 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     # Copies of a row (same id and text) have one key: they agree in all, and are two members of a class.
     placed = placed.select("key", "a", "lo", "hi", "core", "u", (F.col("n") > 1).alias("sure"), F.when((F.col("classes") > 1) & is_one, F.col("cls")).alias("cls"))
     placed = placed.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "a", "sure", "cls", "core", "u"))).alias("sampled"))  # bounded by the text
-    texts = stored(keyed.dropDuplicates(["key", "key2"]).join(placed, "key"), "suffix-texts")
+    alone = keyed.groupBy("key").agg((F.min("key2") == F.max("key2")).alias("alone"))
+    texts = keyed.join(placed.join(alone, "key"), "key").dropDuplicates(["key", "key2"])  # by the key in both steps: one shuffle
+    texts = stored(texts, "suffix-texts")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The parts of a text in which classes stand for which it is the member that goes on; most: phrases begun in `length` bytes."""
         for batch in batches:
             rows = []
-            for text, sampled in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist(), strict=True):
+            for text, sampled, alone in zip(*(batch.column(c).to_pylist() for c in ("text", "sampled", "alone")), strict=True):
                 data = text.encode()
-                entries = [e for e in _own(data, sampled, length) if e["cls"] is not None]
+                entries = [e for e in (sampled if alone else _own(data, sampled, length)) if e["cls"] is not None]
                 for b, e in merged([(x["lo"], x["hi"] + length) for x in entries]):
                     begin = phrase_starts(np.frombuffer(data, np.uint8, e - b, b))
                     most = int((np.searchsorted(begin, begin + length) - np.arange(len(begin))).max()) + 1
@@ -169,7 +171,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             kinds = (pa.binary(), pa.int32(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("a", pa.int32()), ("cls", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, kinds, strict=True)], ["data", "most", "classes"])
 
-    strips = texts.select("text", "sampled").mapInArrow(strip, "data binary, most int, classes array<struct<lo:int,hi:int,a:int,cls:bigint>>")
+    strips = texts.select("text", "sampled", "alone").mapInArrow(strip, "data binary, most int, classes array<struct<lo:int,hi:int,a:int,cls:bigint>>")
     strips = stored(strips.withColumn("s", F.monotonically_increasing_id()), "suffix-strips")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,11 +290,11 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, key2, text, sampled, hit in zip(*(batch.column(c).to_pylist() for c in ("key", "key2", "text", "sampled", "hits")), strict=True):
+            for key, key2, text, sampled, alone, hit in zip(*(batch.column(c).to_pylist() for c in ("key", "key2", "text", "sampled", "alone", "hits")), strict=True):
                 data = text.encode()
                 known = {h["cls"]: h["ds"] for h in hit or ()}
                 covers = []
-                for s in _own(data, sampled, length):
+                for s in sampled if alone else _own(data, sampled, length):
                     if s["sure"]:
                         covers.append((s["lo"], s["hi"] + length))
                     else:
