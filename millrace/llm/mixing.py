@@ -144,17 +144,14 @@ def plan(docs: DataFrame, most_repeats: float | None = 2.0, target_entropy: floa
 
 
 def mixed(docs: DataFrame, most_repeats: float = 2.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with each row as often as the plan says, all columns as they were, in mixed order.
+    """docs with each row as often as the plan says, all columns as they were.
 
-    Partitions are even ranges of the positions, in order, and rows are sorted in each; so
-    are the files of a table that is written from it.
+    Each partition has a part of the documents, dealt by a hash, in mixed order; so has each
+    file of a table that is written from it. The texts are shuffled once.
     """
-    spark = docs.sparkSession
     rows = told_apart(docs, "mixing-rows")
     light = rows.select("_row", *[F.col("_doc").getField(c).alias(a) for c, a in ((id_col, "id"), (source_col, "source"), (text_col, "text"))])
     placed = plan(light, most_repeats, None, seed, "id", "source", "text", "_row").select("_row", "copies", "mix_position", "mix_step")
     each = rows.join(placed, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
     each = each.withColumn("_position", F.col("mix_position") + F.col("_copy") * F.col("mix_step"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.least(F.floor(F.col("_position") * n), F.lit(n - 1)).cast("int")
-    return each.repartitionById(n, slot).sortWithinPartitions("_position", "_row").select("_doc.*")
+    return each.sortWithinPartitions("_position", "_row").select("_doc.*")

@@ -339,19 +339,23 @@ def test_mixing(docs, empty):
     assert len(by_entropy) == len(ROWS) and mixing.entropy(list(shares.values())) == pytest.approx(1.2, abs=0.01)
     out = mixing.mixed(docs, 3.0)
     assert out.columns == docs.columns
-    order = [r.doc_id for r in out.collect()]
+    parts: dict = {}
+    for r in out.select("doc_id", F.spark_partition_id().alias("part")).collect():
+        parts.setdefault(r.part, []).append(r.doc_id)
+    order = [i for ids_ in parts.values() for i in ids_]
     shared = Counter(order)
     copies = Counter()
     for r in rows:
         copies[r.doc_id] += r.copies
     assert shared == copies and order != sorted(order, key=lambda i: (i is not None, i))
     place = {r.doc_id: [r.mix_position + c * r.mix_step for c in range(r.copies)] for r in rows if ids()[r.doc_id] == 1}
-    walked, at = [], Counter()
-    for i in order:
-        if i in place:
-            walked.append(place[i][at[i]])
-            at[i] += 1
-    assert walked == sorted(walked)
+    for ids_ in parts.values():  # in mixed order, the copies of a document apart
+        walked, at = [], Counter()
+        for i in ids_:
+            if i in place:
+                walked.append(place[i][at[i]])
+                at[i] += 1
+        assert walked == sorted(walked)
     assert mixing.plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
