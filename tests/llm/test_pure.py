@@ -157,10 +157,10 @@ def test_mixing_exponents():
     assert mixing.find_exponent(shares, target_entropy=target) == pytest.approx(0.4, abs=1e-5)
     a = mixing.find_exponent(shares, most_repeats=1.5)
     assert mixing.largest_repetition(shares, a) == pytest.approx(1.5, abs=1e-5)
-    for _ in range(300):  # the limit holds after rounding
+    for _ in range(300):  # the limit holds after rounding (budgets are bounded by it besides)
         sizes = [RNG.randint(1, 10 ** RNG.randint(1, 12)) for _ in range(RNG.randint(2, 6))]
         a = mixing.find_exponent([x / sum(sizes) for x in sizes], most_repeats=2)
-        assert mixing.largest_repetition([x / sum(sizes) for x in sizes], a) <= 2 + 1e-9
+        assert mixing.largest_repetition([x / sum(sizes) for x in sizes], a) <= 2 + 1e-7
     assert mixing.find_exponent([5 / 6, 1 / 6], most_repeats=2) == 0.569324 and mixing.find_exponent([0.8, 0.2], most_repeats=2) == 0.5
     assert mixing.find_exponent([], most_repeats=2) == 0 and mixing.find_exponent([1.0], most_repeats=2) == 0
 
