@@ -1,17 +1,29 @@
 """Keyed vector tables: lookup, combination, deduplication, partitioning, upsert.
 
 A vector table has the columns id (bigint) and vec (array of float or double).
+
+Rows of ids have a key of their own each. Where the vectors of all ids that the rows name are few
+(HELD bytes), every task holds those and makes the result row by row, so no vector is shuffled;
+otherwise ids and vectors are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+from millrace.workspace import stored
 
 COMBINERS = ("sum", "mean", "sqrtn")
+#: Bytes of vectors, as doubles, that a task may hold, and ids whose vectors are fetched at a time.
+HELD, SLICE = 32 << 20, 1 << 14
 
 
 def zeros(dim: int) -> Column:
@@ -37,6 +49,87 @@ def initial(kind: str, dim: int, seed: int = 0, value: float = 0.0, low: float =
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), made[kind])
 
 
+def _flat(ids: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of every element of a column of arrays, and the elements; a null array has none."""
+    return np.repeat(np.arange(len(ids)), ids.value_lengths().fill_null(0).to_numpy()), ids.flatten()
+
+
+def _lists(flat: np.ndarray, size: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, size, dtype=np.int32), flat.reshape(-1))
+
+
+@dataclass
+class Held:
+    """Vectors that a task holds: ids in ascending order and their vectors."""
+
+    ids: np.ndarray
+    vecs: np.ndarray
+
+    def find(self, ids: pa.Array, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ids are held and not below the least, and the places of those."""
+        wanted = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        if not len(self.ids):
+            return np.zeros(len(wanted), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.ids, wanted), len(self.ids) - 1)
+        hit = (self.ids[at] == wanted) & ids.is_valid().to_numpy(zero_copy_only=False)
+        if least is not None:
+            hit &= wanted >= least
+        return hit, at[hit]
+
+    def sums(self, n: int, row: np.ndarray, at: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """The sum of each of n rows' vectors; rows ascend."""
+        out = np.zeros((n, self.vecs.shape[1]))
+        for i in range(0, len(at), SLICE):
+            r, part = row[i : i + SLICE], self.vecs[at[i : i + SLICE]]
+            first = np.flatnonzero(np.diff(r, prepend=-1))
+            out[r[first]] += np.add.reduceat(part if weight is None else part * weight[i : i + SLICE, None], first, axis=0)
+        return out
+
+
+def _named(rows: DataFrame, ids: str, dim: int, most_bytes: int, least: int | None = None) -> tuple[DataFrame, int] | None:
+    """The distinct ids of the rows and their number, if their vectors are few."""
+    each = rows.select(F.explode(ids).alias("id")).where("id IS NOT NULL" if least is None else F.col("id") >= least)
+    found = stored(each.distinct(), "named_ids")
+    n = found.count()
+    return (found, n) if replicated(n, dim, 8, most_bytes) else None
+
+
+def _held(vectors: DataFrame, n: int, dim: int) -> Held | None:
+    """The vectors of at most n ids; none where an id comes twice or a vector has not dim numbers."""
+    got = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).limit(n + 1).toArrow().combine_chunks()
+    ids, vecs = (got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c] for c in ("id", "vec"))
+    flat = vecs.flatten()
+    if vecs.null_count or flat.null_count or len(flat) != len(ids) * dim or (vecs.value_lengths().to_numpy() != dim).any():
+        return None
+    order = np.argsort(ids.to_numpy())
+    known = ids.to_numpy()[order]
+    if (np.diff(known) == 0).any():
+        return None
+    return Held(known, flat.to_numpy().reshape(-1, dim)[order])
+
+
+def _wanted(rows: DataFrame, table: DataFrame, ids: str, dim: int, most_bytes: int, least: int) -> Held | None:
+    """What the table has of the rows' ids, if that is little."""
+    named = _named(rows, ids, dim, most_bytes, least)
+    return named and _held(table.select("id", "vec").join(F.broadcast(named[0]), "id", "left_semi"), named[1], dim)
+
+
+def _by_rows(rows: DataFrame, key: str, fields: list[StructField], make: Callable[[pa.RecordBatch], list], held: list[Held]) -> DataFrame:
+    """key and what make(batch, *held) yields for each batch of rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, *[f.name for f in fields]]
+        for batch in batches:
+            for made in make(batch, *sent.value):
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names)
+
+    return rows.mapInArrow(run, StructType([rows.schema[key], *fields]))
+
+
+_VECTOR = ArrayType(DoubleType())
+
+
 def lookup(rows: DataFrame, table: DataFrame, dim: int, ids: str = "ids", key: str = "key", missing: Column | None = None) -> DataFrame:
     """key, vecs: the vectors of the ids in their order. Each distinct id is fetched once."""
     each = rows.select(key, F.posexplode(ids).alias("pos", "id"))
@@ -132,9 +225,22 @@ def dense(table: DataFrame, n: int, dim: int) -> DataFrame:
     return spark.range(n).join(table, "id", "left").select("id", F.coalesce("vec", zeros(dim)).alias("vec"))
 
 
-def fm_second_order(rows: DataFrame, table: DataFrame, dim: int, ids: str = "ids", key: str = "key") -> DataFrame:
-    """key, value: half the sum over dimensions of (sum v)^2 - sum v^2; id 0 is padding."""
-    each = rows.select(key, F.explode(ids).alias("id")).where("id > 0").join(table, "id")
+def fm_second_order(rows: DataFrame, table: DataFrame, dim: int, ids: str = "ids", key: str = "key", most_bytes: int = HELD) -> DataFrame:
+    """key, value: half the sum over dimensions of (sum v)^2 - sum v^2; id 0 is padding, rows without ids in the table are left out."""
+    rows = stored(rows.select(key, F.col(ids).cast("array<bigint>").alias(ids)), "rows_of_ids")
+    if held := _wanted(rows, table, ids, dim, most_bytes, 1):
+
+        def make(batch: pa.RecordBatch, known: Held) -> Iterator[list]:
+            n = batch.num_rows
+            row, flat = _flat(batch.column(ids))
+            hit, at = known.find(flat, 1)
+            row, norms = row[hit], np.square(known.vecs).sum(axis=1)
+            some = np.flatnonzero(np.bincount(row, minlength=n))
+            value = (np.square(known.sums(n, row, at)).sum(axis=1) - np.bincount(row, norms[at], n)) / 2
+            yield [batch.column(key).take(pa.array(some)), value[some]]
+
+        return _by_rows(rows, key, [StructField("value", DoubleType())], make, [held])
+    each = rows.select(key, F.explode(ids).alias("id")).where("id > 0").join(table.select("id", "vec"), "id")
     parts = each.groupBy(key).agg(*sum_vectors("vec", dim), *[F.sum(F.col("vec")[k] * F.col("vec")[k]).alias(f"_q{k}") for k in range(dim)])
     total = sum((F.col(f"_s{k}") * F.col(f"_s{k}") - F.col(f"_q{k}") for k in range(dim)), F.lit(0.0))
     return parts.select(key, (total / 2).alias("value"))

@@ -196,6 +196,26 @@ def test_lookup_keeps_order(spark, vector_table):
     assert vectors.check_ids(rows, 10).count() == 1
 
 
+def _numbers(x):
+    return [n for v in x for n in _numbers(v)] if isinstance(x, list | tuple) else [x]
+
+
+def test_few_vectors_are_held_and_none_is_shuffled(spark, vector_table):
+    """The result by rows equals that by joins, with nulls, ids that come twice and more ids than a slice has."""
+    rows = spark.createDataFrame([(0, [3, 1, None, 3, 9]), (1, [2]), (2, []), (3, None), (4, [-1, 0]), (5, [k % 5 - 1 for k in range(40_000)])], "key int, ids array<bigint>")
+    rows = rows.withColumn("w", F.transform("ids", lambda i: F.when(i != 2, i * 0.5 + 1)))
+    twice = vector_table.unionByName(vector_table)
+    made = {
+        "fm": lambda t, most: vectors.fm_second_order(rows, t, 2, most_bytes=most),
+    }
+    for name, make in made.items():
+        for t in (vector_table, twice) if name in ("sum", "pooled") else (vector_table,):
+            held, joined = (sorted(map(tuple, make(t, most).collect())) for most in (1 << 20, 0))
+            assert [_numbers(r) for r in held] == [pytest.approx(_numbers(r)) for r in joined], name
+        plan = make(vector_table, 1 << 20)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Exchange" in make(vector_table, 0)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge_scatter_upsert_dense(spark, vector_table):
     more = spark.createDataFrame([(1, [5.0, 5.0]), (1, [1.0, 1.0]), (7, [2.0, 2.0])], "id bigint, vec array<double>")
     merged = vectors.merge(vector_table, more)
