@@ -145,19 +145,41 @@ def sum_vectors(vec: str, dim: int, weight: Column | None = None) -> list[Column
     return [F.sum(F.col(vec)[k] * w).alias(f"_s{k}") for k in range(dim)]
 
 
-def combine(rows: DataFrame, table: DataFrame, dim: int, how: str = "mean", ids: str = "ids", weights: str | None = None, key: str = "key", zero_is_missing: bool = False) -> DataFrame:
-    """key, vec: the ids' vectors combined; negative ids and ids not in the table do not count, rows without ids are zeros.
+def combine(rows: DataFrame, table: DataFrame, dim: int, how: str = "mean", ids: str = "ids", weights: str | None = None, key: str = "key", zero_is_missing: bool = False, most_bytes: int = HELD) -> DataFrame:
+    """key, vec: the ids' vectors combined; negative ids, ids not in the table and ids without a weight do not count, rows without ids are zeros.
 
     sum: sum w e; mean: sum w e / sum w; sqrtn: sum w e / sqrt(sum w w); w is 1 without weights.
     """
     if how not in COMBINERS:
         raise ValueError(f"not a combiner: {how}")
-    pairs = F.arrays_zip(F.col(ids).alias("id"), F.col(weights).alias("w")) if weights else F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("w")))
+    pairs = F.arrays_zip(F.col(ids).cast("array<bigint>").alias("id"), F.col(weights).cast("array<double>").alias("w")) if weights else None
+    columns = [F.transform(pairs, lambda p: p["id"]).alias("_ids"), F.transform(pairs, lambda p: p["w"]).alias("_ws")] if weights else [F.col(ids).cast("array<bigint>").alias("_ids")]
+    rows = stored(rows.select(key, *columns), "rows_of_ids")
     least = 1 if zero_is_missing else 0
-    each = rows.select(key, F.explode(pairs).alias("_p")).select(key, F.col("_p")["id"].alias("id"), F.col("_p")["w"].cast("double").alias("w")).where(F.col("id") >= least)
+    scale = {"sum": F.lit(1.0), "mean": F.col("_w"), "sqrtn": F.sqrt("_ww")}[how]
+    if held := _wanted(rows, table, "_ids", dim, most_bytes, least):
+
+        def make(batch: pa.RecordBatch, known: Held) -> Iterator[list]:
+            n = batch.num_rows
+            row, flat = _flat(batch.column("_ids"))
+            hit, at = known.find(flat, least)
+            w = None
+            if weights:
+                given = batch.column("_ws").flatten().filter(pa.array(hit))
+                there = given.is_valid().to_numpy(zero_copy_only=False)
+                hit[np.flatnonzero(hit)[~there]] = False
+                at, w = at[there], given.drop_null().to_numpy(zero_copy_only=False)
+            row = row[hit]
+            total, squares = (np.bincount(row, x, n).astype(float) for x in (w, None if w is None else w * w))
+            yield [batch.column(key), _lists(known.sums(n, row, at, w), dim), np.bincount(row, minlength=n), total, squares]
+
+        fields = [StructField("_s", _VECTOR), StructField("_n", LongType()), StructField("_w", DoubleType()), StructField("_ww", DoubleType())]
+        sums = _by_rows(rows, key, fields, make, [held])
+        return sums.select(key, (F.col("_s") if how == "sum" else F.when(F.col("_n") > 0, F.transform("_s", lambda x: x / scale)).otherwise(F.col("_s"))).alias("vec"))
+    pairs = F.arrays_zip(F.col("_ids").alias("id"), F.col("_ws").alias("w")) if weights else F.transform("_ids", lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("w")))
+    each = rows.select(key, F.explode(pairs).alias("_p")).select(key, "_p.id", "_p.w").where((F.col("id") >= least) & F.col("w").isNotNull())
     joined = each.join(table.select("id", "vec"), "id")
     sums = joined.groupBy(key).agg(*sum_vectors("vec", dim, F.col("w")), F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("w")).alias("_ww"))
-    scale = {"sum": F.lit(1.0), "mean": F.col("_w"), "sqrtn": F.sqrt("_ww")}[how]
     vec = F.array(*[F.col(f"_s{k}") / scale for k in range(dim)])
     out = rows.select(key).join(sums.select(key, vec.alias("vec")), key, "left")
     return out.select(key, F.coalesce("vec", zeros(dim)).alias("vec"))
