@@ -130,11 +130,33 @@ def _by_rows(rows: DataFrame, key: str, fields: list[StructField], make: Callabl
 _VECTOR = ArrayType(DoubleType())
 
 
-def lookup(rows: DataFrame, table: DataFrame, dim: int, ids: str = "ids", key: str = "key", missing: Column | None = None) -> DataFrame:
-    """key, vecs: the vectors of the ids in their order. Each distinct id is fetched once."""
+def lookup(rows: DataFrame, table: DataFrame, dim: int, ids: str = "ids", key: str = "key", missing: Column | None = None, most_bytes: int = HELD) -> DataFrame:
+    """key, vecs: the vectors of the ids in their order. Each distinct id is fetched once; rows without ids are left out."""
+
+    def fetch(named: DataFrame, table: DataFrame) -> DataFrame:
+        wanted = named.join(table.select("id", "vec"), "id", "left")
+        return wanted.select("id", F.coalesce("vec", missing if missing is not None else zeros(dim)).alias("vec"))
+
+    rows = stored(rows.select(key, F.col(ids).cast("array<bigint>").alias(ids)), "rows_of_ids")
+    named = _named(rows, ids, dim, most_bytes)
+    held = named and _held(fetch(named[0], table.join(F.broadcast(named[0]), "id", "left_semi")), named[1], dim)
+    if held:
+
+        def make(batch: pa.RecordBatch, known: Held) -> Iterator[list]:
+            ends = np.cumsum(batch.column(ids).value_lengths().fill_null(0).to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(ends)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                row, flat = _flat(part.column(ids))
+                hit, at = known.find(flat)
+                lengths = np.bincount(row[hit], minlength=b - a)
+                some = pa.array(np.flatnonzero(lengths))
+                offsets = np.concatenate([[0], np.cumsum(lengths[lengths > 0])]).astype(np.int32)
+                yield [part.column(key).take(some), pa.ListArray.from_arrays(offsets, _lists(known.vecs[at], dim))]
+
+        return _by_rows(rows, key, [StructField("vecs", ArrayType(_VECTOR))], make, [held])
     each = rows.select(key, F.posexplode(ids).alias("pos", "id"))
-    wanted = each.select("id").distinct().join(table.select("id", "vec"), "id", "left")
-    wanted = wanted.select("id", F.coalesce("vec", missing if missing is not None else zeros(dim)).alias("vec"))
+    wanted = fetch(each.select("id").distinct(), table)
     found = each.join(wanted, "id").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("_all"))
     return found.select(key, F.transform("_all", lambda s: s["vec"]).alias("vecs"))
 

@@ -206,6 +206,7 @@ def test_few_vectors_are_held_and_none_is_shuffled(spark, vector_table):
     rows = rows.withColumn("w", F.transform("ids", lambda i: F.when(i != 2, i * 0.5 + 1)))
     twice = vector_table.unionByName(vector_table)
     made = {
+        "lookup": lambda t, most: vectors.lookup(rows, t, 2, most_bytes=most),
         "sum": lambda t, most: vectors.combine(rows, t, 2, "sum", most_bytes=most),
         "mean": lambda t, most: vectors.combine(rows, t, 2, "mean", zero_is_missing=True, most_bytes=most),
         "weighted": lambda t, most: vectors.combine(rows, t, 2, "sqrtn", weights="w", most_bytes=most),
