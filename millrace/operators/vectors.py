@@ -212,11 +212,31 @@ def mask(ids: Column) -> Column:
     return F.transform(ids, lambda i: i != 0)
 
 
-def pooled(rows: DataFrame, tables: Mapping[str, DataFrame], dim: int, how: str = "sum", key: str = "key") -> DataFrame:
-    """key and a vector for each group: {name of an id array column of rows: its table}. All groups in one join."""
+def pooled(rows: DataFrame, tables: Mapping[str, DataFrame], dim: int, how: str = "sum", key: str = "key", most_bytes: int = HELD) -> DataFrame:
+    """key and a vector for each group: {name of an id array column of rows: its table}. All groups in one pass or join."""
+    rows = stored(rows.select(key, *[F.col(g).cast("array<bigint>").alias(g) for g in tables]), "rows_of_ids")
+    held: list[Held] = []
+    for g, t in tables.items():
+        if not (one := _wanted(rows, t, g, dim, most_bytes // len(tables), 0)):
+            break
+        held.append(one)
+    if len(held) == len(tables):
+
+        names = list(tables)
+
+        def make(batch: pa.RecordBatch, *known: Held) -> Iterator[list]:
+            out, n = [batch.column(key)], batch.num_rows
+            for g, one in zip(names, known, strict=True):
+                row, flat = _flat(batch.column(g))
+                hit, at = one.find(flat, 0)
+                counts = np.maximum(np.bincount(row[hit], minlength=n), 1)[:, None]
+                out.append(_lists(one.sums(n, row[hit], at) / {"sum": 1.0, "mean": counts, "sqrtn": np.sqrt(counts)}[how], dim))
+            yield out
+
+        return _by_rows(rows, key, [StructField(g, _VECTOR) for g in names], make, held)
 
     def tagged(group: str) -> Column:
-        return F.transform(F.coalesce(F.col(group).cast("array<bigint>"), F.array().cast("array<bigint>")), lambda i: F.struct(F.lit(group).alias("group"), i.alias("id")))
+        return F.transform(F.coalesce(F.col(group), F.array().cast("array<bigint>")), lambda i: F.struct(F.lit(group).alias("group"), i.alias("id")))
 
     each = [tagged(g) for g in tables]
     pairs = rows.select(key, F.explode(F.concat(*each)).alias("p")).select(key, "p.group", "p.id").where("id >= 0")

@@ -444,9 +444,13 @@ def _bags(t) -> DataFrame:
 
 def _sums(df: DataFrame, key: str, digits: int = 4, vec: str = "vec") -> DataFrame:
     """Two numbers into which every position of a vector goes: the sum, and the sum weighted by the position from 1."""
+    return df.select(key, *_two(vec, digits))
+
+
+def _two(vec: str, digits: int = 4, end: str = "") -> list[Column]:
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     weighted = F.transform(vec, lambda x, i: x * (i + 1))
-    return df.select(key, (_r(add(F.col(vec)), digits) + F.lit(0.0)).alias("total"), (_r(add(weighted), digits) + F.lit(0.0)).alias("weighted"))
+    return [(_r(add(F.col(vec)), digits) + F.lit(0.0)).alias(f"total{end}"), (_r(add(weighted), digits) + F.lit(0.0)).alias(f"weighted{end}")]
 
 
 _EACH = "each AS (SELECT l_orderkey AS key, l_linenumber AS ln, l_partkey % 600 - 20 AS id, l_discount + 0.5 AS w FROM lineitem)"
@@ -505,8 +509,7 @@ FROM b LEFT JOIN s sa ON sa.id = a LEFT JOIN s sb ON sb.id = b GROUP BY key""")
 def embed_pooled(t):
     rows = t("lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_list(F.col("l_partkey") % 400).alias("a"), F.collect_list(F.col("l_suppkey") % 300).alias("b"))
     found = vectors.pooled(rows, {"a": _table(t), "b": _table(t)}, DIM)
-    one, two = (_sums(found, "key", vec=g).withColumnsRenamed({"total": f"total_{g}", "weighted": f"weighted_{g}"}) for g in "ab")
-    return one.join(two, "key")
+    return found.select("key", *_two("a", end="_a"), *_two("b", end="_b"))
 
 
 @query(f"WITH {_EACH}, {_DIMS}, s AS (SELECT key, d, sum(x) AS a, sum(x * x) AS b FROM each JOIN e USING (id) WHERE id > 0 GROUP BY key, d) SELECT key, round(sum(a * a - b) / 2, 4) + 0.0 AS value FROM s GROUP BY key")

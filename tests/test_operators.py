@@ -210,6 +210,7 @@ def test_few_vectors_are_held_and_none_is_shuffled(spark, vector_table):
         "sum": lambda t, most: vectors.combine(rows, t, 2, "sum", most_bytes=most),
         "mean": lambda t, most: vectors.combine(rows, t, 2, "mean", zero_is_missing=True, most_bytes=most),
         "weighted": lambda t, most: vectors.combine(rows, t, 2, "sqrtn", weights="w", most_bytes=most),
+        "pooled": lambda t, most: vectors.pooled(rows.withColumn("b", F.slice("ids", 1, 2)), {"ids": t, "b": t}, 2, "mean", most_bytes=most),
         "fm": lambda t, most: vectors.fm_second_order(rows, t, 2, most_bytes=most),
     }
     for name, make in made.items():
