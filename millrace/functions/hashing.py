@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,16 +95,105 @@ def fingerprint64(s: bytes) -> int:
     return _len16(_len16(v[0], w[0], mul) + _mix(y) * K0 + z & _M, _len16(v[1], w[1], mul) + x & _M, mul)
 
 
+def fingerprints(values: pa.Array) -> np.ndarray:
+    """fingerprint64 of every string, as unsigned numbers; all strings of a class of lengths at once. A null is as an empty string."""
+    values = values.fill_null("").cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.zeros((data.size if data else 0) + 8, np.uint8)
+    raw[: len(raw) - 8] = np.frombuffer(data, np.uint8) if data else 0
+    words = {size: np.ndarray(len(raw) - 7, f"<u{size}", raw, strides=(1,)) for size in (1, 4, 8)}
+
+    def word(at: np.ndarray, size: int = 8) -> np.ndarray:
+        return words[size][at].astype(np.uint64)
+
+    start, n = ends[:-1], np.diff(ends)
+    out = np.full(len(values), K2, np.uint64)
+    for least, most, way in ((1, 3, _upto3), (4, 7, _upto7), (8, 16, _upto16), (17, 32, _upto32), (33, 64, _upto64), (65, None, _longer)):
+        which = np.flatnonzero((n >= least) & (n <= most if most else True))
+        if len(which):
+            out[which] = way(word, start[which], n[which])
+    return out
+
+
+def _mul(n: np.ndarray) -> np.ndarray:
+    return K2 + n.astype(np.uint64) * 2
+
+
+def _upto3(word, at, n):
+    y, z = word(at, 1) + (word(at + (n >> 1), 1) << 8), n.astype(np.uint64) + (word(at + n - 1, 1) << 2)
+    return _mix(y * K2 ^ z * K0) * K2
+
+
+def _upto7(word, at, n):
+    return _len16(n.astype(np.uint64) + (word(at, 4) << 3), word(at + n - 4, 4), _mul(n))
+
+
+def _upto16(word, at, n):
+    mul, a, b = _mul(n), word(at) + K2, word(at + n - 8)
+    return _len16(_rotate(b, 37) * mul + a, (_rotate(a, 25) + b) * mul, mul)
+
+
+def _upto32(word, at, n):
+    mul, a, b = _mul(n), word(at) * K1, word(at + 8)
+    c, d = word(at + n - 8) * _mul(n), word(at + n - 16) * K2
+    return _len16(_rotate(a + b, 43) + _rotate(c, 30) + d, a + _rotate(b + K2, 18) + c, mul)
+
+
+def _upto64(word, at, n):
+    mul, a, b = _mul(n), word(at) * K2, word(at + 8)
+    c, d = word(at + n - 8) * mul, word(at + n - 16) * K2
+    y = _rotate(a + b, 43) + _rotate(c, 30) + d
+    z = _len16(y, a + _rotate(b + K2, 18) + c, mul)
+    e, f = word(at + 16) * mul, word(at + 24)
+    g, h = (y + word(at + n - 32)) * mul, (z + word(at + n - 24)) * mul
+    return _len16(_rotate(e + f, 43) + _rotate(g, 30) + h, e + _rotate(f + a, 18) + g, mul)
+
+
+def _longer(word, at, n):
+    """Blocks of 64 bytes, each for all strings that have one; the last 64 bytes come at the end."""
+    same = lambda value: np.full(len(at), value & _M, np.uint64)
+    x, y = word(at) + same(81 * K2), same(81 * K1 + 113)
+    z = _mix(y * K2 + 113) * K2
+    v0, v1, w0, w1 = (same(0) for _ in range(4))
+    blocks = (n - 1) // 64
+    for k in range(int(blocks.max())):
+        i = np.flatnonzero(blocks > k)
+        p = at[i] + 64 * k
+        a = _rotate(x[i] + y[i] + v0[i] + word(p + 8), 37) * K1 ^ w1[i]
+        b = _rotate(y[i] + v1[i] + word(p + 48), 42) * K1 + v0[i] + word(p + 40)
+        c = _rotate(z[i] + w0[i], 33) * K1
+        (v0[i], v1[i]), (w0[i], w1[i]) = _weak_at(word, p, v1[i] * K1, a + w0[i]), _weak_at(word, p + 32, c + w1[i], b + word(p + 16))
+        x[i], y[i], z[i] = c, b, a
+    p = at + n - 64
+    mul = K1 + ((z & 0xFF) << 1)
+    w0 = w0 + (n - 1 & 63).astype(np.uint64)
+    v0 = v0 + w0
+    w0 = w0 + v0
+    x = _rotate(x + y + v0 + word(p + 8), 37) * mul ^ w1 * 9
+    y = _rotate(y + v1 + word(p + 48), 42) * mul + v0 * 9 + word(p + 40)
+    z = _rotate(z + w0, 33) * mul
+    (v0, v1), (w0, w1) = _weak_at(word, p, v1 * mul, x + w0), _weak_at(word, p + 32, z + w1, y + word(p + 16))
+    return _len16(_len16(v0, w0, mul) + _mix(y) * K0 + x, _len16(v1, w1, mul) + z, mul)
+
+
+def _weak_at(word, at, a, b):
+    w, x, y, z = (word(at + 8 * k) for k in range(4))
+    a = a + w
+    b = _rotate(b + a + z, 21)
+    c = a
+    a = a + x + y
+    return a + z, b + _rotate(a, 44) + c
+
+
 def hash_bucket(num_bins: int):
     """fingerprint64 of the text form modulo num_bins, by an Arrow UDF; NULL stays NULL."""
     if not num_bins or num_bins <= 0:
         raise ValueError("num_bins must be positive")
 
-    @F.pandas_udf("bigint")
-    def bucket(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in parts:
-            known = {v: fingerprint64(v.encode()) % num_bins for v in values.dropna().unique()}
-            yield values.map(known).astype("Int64")
+    @F.arrow_udf("bigint")
+    def bucket(values: pa.Array) -> pa.Array:
+        return pa.array((fingerprints(values) % num_bins).astype(np.int64), mask=values.is_null().to_numpy(zero_copy_only=False))
 
     return lambda c: bucket(c.cast("string"))
 

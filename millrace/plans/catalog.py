@@ -227,9 +227,11 @@ def hash_bucket_exact(t):
 
 @query(f"WITH src AS (SELECT p_partkey, k, left(p_type || ' ' || p_name || ' ' || p_brand || p_type || p_name || p_type, (4 + 3 * k + p_partkey % 3)::BIGINT) AS s FROM part, range(0, 20) r(k)), {_fingerprint_sql('s')} SELECT p_partkey, k::INTEGER AS k, (f % 1000003)::BIGINT AS bucket FROM fingerprint")
 def hash_lengths(t):
-    """The fingerprint of texts of 4 to 64 characters."""
+    """The fingerprint of texts of 4 to 64 characters. Rows are dealt out before they become twenty: a small file is one task."""
+    part = t("part").select("p_partkey", "p_type", "p_name", "p_brand")
+    part = part.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.concat("p_type", F.lit(" "), "p_name", F.lit(" "), "p_brand", "p_type", "p_name", "p_type")
-    each = t("part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), text.alias("s"))
+    each = part.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), text.alias("s"))
     cut = each.select("p_partkey", "k", F.substring("s", F.lit(1), (4 + 3 * F.col("k") + F.col("p_partkey") % 3).cast("int")).alias("s")).where(F.length("s").between(4, 64))
     return cut.select("p_partkey", "k", hashing.hash_bucket(1_000_003)(F.col("s")).alias("bucket"))
 

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,13 @@ def test_bad_number_raises(spark):
     assert values(spark, transforms.to_number("int", 0, lenient=True), ["x"], "string") == [None]
 
 
+def test_fingerprints_of_arrays_equal_those_of_strings(spark):
+    texts = ["".join(chr(32 + (7 * k * n + k) % 90) for k in range(n)) for n in range(300)] + ["é" * k for k in range(70)] + [None, "x" * 10_000]
+    for found in (pa.array(texts), pa.array(texts).slice(11, 300), pa.array([], "string"), pa.array([None, ""], "string")):
+        assert hashing.fingerprints(found).tolist() == [hashing.fingerprint64((t or "").encode()) for t in found.to_pylist()]
+    assert values(spark, hashing.hash_bucket(1_000_003), texts, "string") == [None if t is None else hashing.fingerprint64(t.encode()) % 1_000_003 for t in texts]
+
+
 def test_fingerprint_lengths_differ():
     seen = {hashing.fingerprint64(bytes(range(256))[:n]) for n in range(200)}
     assert len(seen) == 200 and all(0 <= x < 1 << 64 for x in seen)
