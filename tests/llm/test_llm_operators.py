@@ -319,6 +319,26 @@ def test_suffix_dedup(docs, empty, length):
         assert suffix_dedup.deduplicated(docs).count() == len(ROWS)
 
 
+def test_suffix_dedup_sorts_only_strings_that_may_have_a_partner(spark, monkeypatch):
+    """Shared passages of less than `length` bytes are in no strip, a longer one with little beside it."""
+    rng = random.Random(17)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, longer = [some(380) for _ in range(6)], "#" + some(460) + "#"
+    rows = [(i, "".join(some(300) + s for s in shared) + some(300) + (f"{i}" + longer + f"{i}" if i < 2 else "") + some(300)) for i in range(4)]
+    strips, real = [], suffix_dedup.stored
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "suffix-strips":
+            strips.extend(len(r.data) for r in out.select("data").collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", watched)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: (462, 1), 1: (462, 1), 2: (0, 0), 3: (0, 0)}
+    assert sum(strips) <= 2 * (462 + 2 * 16)
+
+
 def test_mixing(docs, empty):
     rows = mixing.plan(docs, most_repeats=3.0).collect()
     assert Counter(r.doc_id for r in rows) == ids() and all(r.copies >= 1 for r in rows)
