@@ -339,6 +339,24 @@ def test_suffix_dedup_sorts_only_strings_that_may_have_a_partner(spark, monkeypa
     assert sum(strips) <= 2 * (462 + 2 * 16)
 
 
+def test_suffix_dedup_of_a_core_with_many_surroundings(spark, monkeypatch):
+    """The classes of one core are counted in a step of their own: the join with them has no aggregation by core, which would hold them in one task."""
+    rng = random.Random(23)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, alone = some(500), some(900)
+    rows = [(i, some(450) + chr(35 + i) + shared + chr(35 + i) + some(450)) for i in range(60)] + [(60, alone), (61, alone), (62, some(900))]
+    plans, real = {}, suffix_dedup.stored
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stored", watched)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (500, 1) for i in range(60)} | {60: (900, 1), 61: (900, 1), 62: (0, 0)}
+    assert "Aggregate [core" not in plans["suffix-texts"] and "Aggregate [core" in plans["suffix-several"]
+
+
 def test_mixing(docs, empty):
     rows = mixing.plan(docs, most_repeats=3.0).collect()
     assert Counter(r.doc_id for r in rows) == ids() and all(r.copies >= 1 for r in rows)
